@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orrery.llm import p1_turns
+from orrery.llm import p1_turns, p2_furniture, p5_copies
 from orrery.session import table
 
 
@@ -14,8 +14,32 @@ def p1_turns_clean(spark, d):
     return p1_turns.turns(p1_turns.minutes(table(spark, d, "document_text"), table(spark, d, "chunks")))
 
 
+def p2_found(spark, d):
+    return p2_furniture.found(table(spark, d, "news_articles"))
+
+
+def p2_clean(spark, d):
+    news = table(spark, d, "news_articles")
+    return p2_furniture.rebuild(news, p2_furniture.found(news))
+
+
+def p5_found(spark, d):
+    return p5_copies.found(table(spark, d, "news_articles"))
+
+
+def p5_records(spark, d):
+    return p5_copies.collapsed(table(spark, d, "news_articles"))
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_turns": p1_turns_clean}
+    return {
+        "p1_found": p1_found,
+        "p1_turns": p1_turns_clean,
+        "p2_found": p2_found,
+        "p2_clean": p2_clean,
+        "p5_found": p5_found,
+        "p5_records": p5_records,
+    }
 
 
 def oracle_sql():
