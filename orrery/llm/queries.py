@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orrery.llm import p1_turns, p2_furniture, p5_copies
+from orrery.llm import p1_turns, p2_furniture, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding
 from orrery.session import table
 
 
@@ -31,16 +31,78 @@ def p5_records(spark, d):
     return p5_copies.collapsed(table(spark, d, "news_articles"))
 
 
+def p4_found(spark, d):
+    return p4_neighbours.found(table(spark, d, "chunks"))
+
+
+def p4_top5(spark, d):
+    return p4_neighbours.neighbours(table(spark, d, "chunks"))
+
+
+def _items(spark, d):
+    return p7_split.items(table(spark, d, "bill_text"), table(spark, d, "document_text"), table(spark, d, "chunks"))
+
+
+def p7_found(spark, d):
+    return p7_split.found(_items(spark, d))
+
+
+def p7_pieces(spark, d):
+    return p7_split.pieces(_items(spark, d))
+
+
+def p8_found(spark, d):
+    return p8_leaks.leaks(table(spark, d, "documents"), table(spark, d, "bench_items"))
+
+
+def p8_items(spark, d):
+    """Documents per leaked test item."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p9_mix_documents(spark, d):
+    return p9_mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    return p9_mix.shares(p9_mix_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark, d):
+    return p10_encoding.repairs(table(spark, d, "documents"), with_text=False).select("doc_id").distinct()
+
+
+def p10_restored(spark, d):
+    return p10_encoding.repairs(table(spark, d, "documents"))
+
+
 def queries():
     return {
         "p1_found": p1_found,
         "p1_turns": p1_turns_clean,
         "p2_found": p2_found,
         "p2_clean": p2_clean,
+        "p4_found": p4_found,
+        "p4_top5": p4_top5,
         "p5_found": p5_found,
         "p5_records": p5_records,
+        "p7_found": p7_found,
+        "p7_pieces": p7_pieces,
+        "p8_found": p8_found,
+        "p8_items": p8_items,
+        "p9_mix": p9_mix_documents,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_restored": p10_restored,
     }
 
 
+_P7_FOUND = """
+SELECT DISTINCT 'bill_text' AS item_table, bill_id AS item_key FROM bill_text WHERE length(full_text) > 1500 AND bill_id IS NOT NULL
+UNION SELECT 'document_text', source || ':' || doc_id FROM document_text WHERE length(full_text) > 1500 AND source IS NOT NULL AND doc_id IS NOT NULL
+UNION SELECT 'chunks', chunk_id FROM chunks WHERE length(text) > 1500 AND chunk_id IS NOT NULL
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"p7_found": _P7_FOUND}
