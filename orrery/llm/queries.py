@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orrery.llm import p1_turns, p2_furniture, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding
+from orrery.llm import p1_turns, p2_furniture, p3_scans, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding
 from orrery.session import table
 
 
@@ -31,6 +31,18 @@ def p5_records(spark, d):
     return p5_copies.collapsed(table(spark, d, "news_articles"))
 
 
+def _scans(spark, d):
+    return p3_scans.items(table(spark, d, "bill_text"), table(spark, d, "document_text"))
+
+
+def p3_found(spark, d):
+    return p3_scans.disturbed(_scans(spark, d))
+
+
+def p3_paragraphs(spark, d):
+    return p3_scans.paragraphs(_scans(spark, d))
+
+
 def p4_found(spark, d):
     return p4_neighbours.found(table(spark, d, "chunks"))
 
@@ -82,6 +94,8 @@ def queries():
         "p1_turns": p1_turns_clean,
         "p2_found": p2_found,
         "p2_clean": p2_clean,
+        "p3_found": p3_found,
+        "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
         "p4_top5": p4_top5,
         "p5_found": p5_found,
