@@ -178,7 +178,7 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     met = far.join(vec("a"), "vh_a").join(vec("b"), "vh_b").select("rid_a", "rid_b", "vec_a", "vec_b").mapInPandas(_rerank, "a string, b string, cosine double")
     met = met.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("p"), "cosine").select("p.rid", "p.other", "cosine")
 
-    best = _best(near.unionByName(met), TOP + 1)
+    best = _best(near.unionByName(met), TOP + 1).persist(StorageLevel.MEMORY_AND_DISK)
     # Groups of equal vectors: every member asks, the six smallest ids answer.
     group = reps.select("vh", "rid")
     answers = group.select("rid", F.col("rid").alias("id")).unionByName(group.join(members, "vh").select("rid", F.col("chunk_id").alias("id")))
@@ -186,7 +186,7 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     several = lists.where(F.size("ids") > 1)
     own = several.select("rid", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine"))
     spread = best.join(several.withColumnRenamed("rid", "other"), "other", "left").select("rid", F.explode(F.coalesce("ids", F.array("other"))).alias("other"), "cosine")
-    ranked = _best(spread.unionByName(own), TOP + 1)
+    ranked = _best(spread.unionByName(own), TOP + 1).persist(StorageLevel.MEMORY_AND_DISK)
     askers = base.select("vh", "chunk_id").join(group, "vh").where("chunk_id <> rid").select("rid", "chunk_id")
     asked = ranked.withColumn("chunk_id", F.col("rid")).unionByName(ranked.join(askers, "rid"))
     final = asked.where("other <> chunk_id").select(F.col("chunk_id").alias("rid"), "other", "cosine")
