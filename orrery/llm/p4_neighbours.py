@@ -135,6 +135,17 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
+def _kept_by_hash(df: DataFrame) -> DataFrame:
+    """df kept with the partitioning it has, so later joins on the same key move the other side only."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name, None)
+    conf.set(name, "false")
+    try:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def neighbours(chunks: DataFrame) -> DataFrame:
     """(chunk_id, other, cosine): for every usable vector the five most similar others of at least 0.85, by cosine
     rounded to 6 decimals, ties to the smaller chunk_id. Null ids and unusable vectors are left out; a chunk_id with
@@ -144,15 +155,16 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     twice = ok.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
     again = ok.join(broadcast_checked(twice), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("vector").alias("vector"))
     base = ok.join(broadcast_checked(twice), "chunk_id", "left_anti").unionByName(again).withColumn("vh", F.xxhash64("vector"))
-    order = Window.partitionBy("vh").orderBy("chunk_id")
-    first = base.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= TOP + 1)
-    members = first.where("rn > 1").select("vh", "chunk_id")
     n = ok.count()
     if n == 0:
         return ok.select("chunk_id", F.col("chunk_id").alias("other"), F.lit(1.0).alias("cosine")).limit(0)
     sample = ok.where(F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, n // SAMPLE))) == 0).select("vector").toPandas()["vector"]
     mean, rotation = learn(unit(sample) if len(sample) else np.eye(DIM))
-    reps = first.where("rn = 1").select("vh", F.col("chunk_id").alias("rid"), "vector").mapInPandas(_encode(mean, rotation), "vh long, rid string, code long, vec binary").persist(StorageLevel.MEMORY_AND_DISK)
+    coded = base.select("vh", F.col("chunk_id").alias("rid"), "vector").mapInPandas(_encode(mean, rotation), "vh long, rid string, code long, vec binary")
+    order = Window.partitionBy("vh").orderBy("rid")
+    first = coded.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= TOP + 1)
+    members = coded.select("vh", "rid").withColumn("rn", F.row_number().over(order)).where((F.col("rn") <= TOP + 1) & (F.col("rn") > 1)).select("vh", F.col("rid").alias("chunk_id"))
+    reps = _kept_by_hash(first.where("rn = 1").drop("rn"))
 
     value = lambda s: F.shiftrightunsigned("code", s * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     keys = reps.withColumn("key", F.explode(F.array(*[F.lit(s << BITS) + value(s) for s in range(SUBS)])))
