@@ -7,8 +7,8 @@ are tried. A reading is taken if the corpus finds its pairs likelier than those
 
 from __future__ import annotations
 
-import codecs
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -84,24 +84,33 @@ def statistics(texts: DataFrame) -> Pairs:
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
     """All maximal segments [s, e) of positive score: disjoint, and none can be widened without loss."""
+    if not len(score):
+        return []
+    # Neighbours of one sign always stay together, so they enter as one.
+    begins = np.flatnonzero(np.concatenate([[True], (score[1:] > 0) != (score[:-1] > 0)]))
+    ends = np.append(begins[1:], len(score)).tolist()
     stack: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum with
+    done: list[tuple[int, int]] = []
     total = 0.0
-    for i, x in enumerate(score.tolist()):
+    for i, end, x in zip(begins.tolist(), ends, np.add.reduceat(score, begins).tolist()):
         if x <= 0:
             total += x
             continue
         s, left = i, total
         total += x
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= left:
-                k -= 1
-            if k < 0 or stack[k][3] >= total:
-                stack.append((s, i + 1, left, total))
+            # Segments that begin no lower than this one can't be joined with it or with any later one.
+            while stack and stack[-1][2] >= left:
+                done.append(stack.pop()[:2])
+            if not stack or stack[-1][3] >= total:
+                stack.append((s, end, left, total))
                 break
-            s, left = stack[k][0], stack[k][2]
-            del stack[k:]
-    return [(a, b) for a, b, _, _ in stack]
+            s, _, left, _ = stack.pop()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(done + [x[:2] for x in stack], key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:  # else it was joined into the wider one
+            out.append((a, b))
+    return out
 
 
 def to_bytes(run: str, wrong: str) -> bytes | None:
@@ -113,8 +122,10 @@ def to_bytes(run: str, wrong: str) -> bytes | None:
         return None
 
 
-def readings(run: str):
+@lru_cache(maxsize=100_000)
+def readings(run: str) -> list[tuple[str, int]]:
     """(text, number of multi-byte sequences) of every inverse mapping that reads the whole run."""
+    out = []
     for wrong in _WRONG:
         b = to_bytes(run, wrong)
         if b is None or not any(x >= 0x80 for x in b):
@@ -125,7 +136,8 @@ def readings(run: str):
             except UnicodeError:
                 continue
             if s != run and (right == "utf-8" or len(b) >= 4 and sum("가" <= ch <= "힣" for ch in s) * 2 >= len(s)):
-                yield s, sum(ord(ch) >= 0x80 for ch in s)
+                out.append((s, sum(ord(ch) >= 0x80 for ch in s)))
+    return out
 
 
 def better(p: Pairs, before: str, run: str, after: str):
@@ -164,6 +176,9 @@ def repaired(p: Pairs, text: str) -> tuple[str, int, int]:
     score = np.concatenate([BITS - p.information(c), [0.0]]) if len(c) > 1 else np.zeros(1)
     wild = (c == 0xFFFD) | ((c >= 0x80) & (c <= 0x9F) & (c != 0x85))
     score[wild] = np.maximum(score[wild], 4.0)
+    bad = score > 0
+    if not (odd & (bad | np.concatenate([[False], bad[:-1]]))).any():
+        return text, 0, 0  # no odd character has an improbable neighbour, so no segment can hold one
     inside = np.zeros(len(c) + 1, dtype=bool)
     for s, e in segments(score):
         inside[s : e + 1] = True
@@ -190,12 +205,12 @@ def repaired(p: Pairs, text: str) -> tuple[str, int, int]:
 def _parts(text: str, s: int, e: int):
     """A run of non-ASCII characters, whole if it can be read otherwise, else its stretches of one kind."""
     run = text[s:e]
-    if any(True for _ in readings(run)) or "�" in run:
+    if readings(run) or "�" in run:
         return [(s, e)]
     kinds = [(m.start() + s, m.end() + s) for m in re.finditer("[가-힣]+|[‘-”]+|[^가-힣‘-”]+", run)]
     out = [(s, e)] if len(kinds) == 1 else kinds
     wide = [(m.start() + s, m.end() + s) for m in re.finditer("[^가-힣]+", run)]
-    return wide if any(any(True for _ in readings(text[a:b])) for a, b in wide) else out
+    return wide if any(readings(text[a:b]) for a, b in wide) else out
 
 
 def _repair(p: Pairs, with_text: bool):
@@ -219,5 +234,3 @@ def repairs(documents: DataFrame, with_text: bool = True) -> DataFrame:
     p = statistics(docs)
     return docs.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(_repair(p, with_text), "doc_id long, text string, restored long, lost long")
 
-
-codecs.lookup("euc_kr")
