@@ -25,6 +25,8 @@ MIN_RUN = 6
 BAND = 32
 #: Test seeds in one block. The documents are read once per block; one block holds about 2,000 items of usual length.
 BLOCK_SEEDS = 2_000_000
+#: Cells of the filter in front of the seed table.
+FILTER = 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,21 +72,24 @@ class Index:
                 ps.append(np.arange(len(h), dtype=np.int32))
             h, it, p = (np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in (hs, its, ps))
             o = np.argsort(h, kind="stable")
-            per_mask.append((h[o], it[o], p[o]))
+            some = np.zeros(FILTER, dtype=bool)
+            some[h & np.uint64(FILTER - 1)] = True
+            per_mask.append((h[o], it[o], p[o], some))
         self.masks = per_mask
 
     def hits(self, codes: np.ndarray) -> np.ndarray:
         """Distinct rows (item, item place, document place)."""
         out = []
-        for mask, (h, it, p) in zip(MASKS, self.masks):
+        for mask, (h, it, p, some) in zip(MASKS, self.masks):
             s = seeds(codes, mask)
             if not len(s) or not len(h):
                 continue
-            lo = np.searchsorted(h, s, side="left")
-            at = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == s)
+            at = np.flatnonzero(some[s & np.uint64(FILTER - 1)])
+            lo = np.searchsorted(h, s[at], side="left")
+            hit = h[np.minimum(lo, len(h) - 1)] == s[at]
+            at, lo = at[hit], lo[hit]
             if not len(at):
                 continue
-            lo = lo[at]
             n = np.searchsorted(h, s[at], side="right") - lo
             k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             out.append(np.stack([it[k].astype(np.int64), p[k].astype(np.int64), np.repeat(at, n)], axis=1))
