@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Masks over consecutive letters and digits: 1 is compared, 0 ignored. Each fits into an unchanged stretch of 24.
-MASKS = ("1111111111111111", "111111110000000011111111", "11111110110111001111111")
+MASKS = ("1111111111111111", "111111110000000011111111")
 MIN_LETTERS = 120
 MIN_MATCHED = 0.8
-MIN_HITS = 30
+MIN_HITS = 24
 MIN_RUN = 6
 #: Diagonals up to so far apart count as one alignment; each changed word moves the diagonal by a few letters.
 BAND = 32
