@@ -1,9 +1,9 @@
 """All registered queries of the core, with the SQL each is checked against."""
 
-from orrery.plans import integrity
+from orrery.plans import integrity, news
 
-MODULES = [integrity]
-FLAGSHIP = "p6_report"
+MODULES = [integrity, news]
+FLAGSHIP = "c_pipeline"
 
 
 def queries():
