@@ -1,8 +1,8 @@
 """All registered queries of the core, with the SQL each is checked against."""
 
-from orrery.plans import integrity, news
+from orrery.plans import bills, integrity, news
 
-MODULES = [integrity, news]
+MODULES = [integrity, news, bills]
 FLAGSHIP = "c_pipeline"
 
 
