@@ -1,8 +1,8 @@
 """All registered queries of the core, with the SQL each is checked against."""
 
-from orrery.plans import bills, integrity, news
+from orrery.plans import bills, corpus, integrity, news, surface
 
-MODULES = [integrity, news, bills]
+MODULES = [integrity, news, bills, corpus, surface]
 FLAGSHIP = "c_pipeline"
 
 
