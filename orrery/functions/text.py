@@ -85,7 +85,8 @@ def strip_markup(c: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\S\n]+", " "), r"\s*\n\s*", "\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[^\S\n]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(t, r"^\s+|\s+\z", "")
 
 
 @F.pandas_udf(T.StringType())

@@ -22,10 +22,14 @@ FOREIGN_LENGTH, FOREIGN_SHARE = 200, 0.95
 
 
 def sanitized(content: Column) -> Column:
-    """Lines with a footer phrase emptied (their newline stays), fixed phrases removed."""
-    out = F.regexp_replace(content, f"[^\n]*{FOOTER}[^\n]*", "")
+    """Lines with a footer phrase emptied (their newline stays), fixed phrases removed.
+
+    Written line by line behind a test of the whole text: one pattern with any text on both sides of the phrase takes a
+    time quadratic in the length of a line."""
+    lines = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.when(x.rlike(FOOTER), "").otherwise(x)), "\n")
+    out = F.when(content.rlike(FOOTER), lines).otherwise(content)
     for x in LITERALS:
-        out = F.replace(out, F.lit(x), F.lit(""))
+        out = F.when(content.contains(x), F.replace(out, F.lit(x), F.lit(""))).otherwise(out)
     return out
 
 

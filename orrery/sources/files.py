@@ -40,7 +40,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def text_bills(spark: SparkSession, root: str) -> DataFrame:
     """(bill_id, text) of whole text files, ids restored from the file names."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(root).select(file_to_id(F.col("_metadata.file_name")).alias("bill_id"), F.col("value").alias("text"))
+    return spark.read.text(root, wholetext=True, pathGlobFilter="*.txt").select(file_to_id(F.col("_metadata.file_name")).alias("bill_id"), F.col("value").alias("text"))
 
 
 def parquet_parts(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -12,16 +12,21 @@ def source(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger:
     return spark.readStream.schema(like.schema).options(maxFilesPerTrigger=files_per_trigger, **options).parquet(folder)
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermarks need times with a zone; times without one are taken in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """(start, key, n, total) per window. On a stream, rows later than the watermark are dropped once their window closed."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = _watermarked(events, ts, late)
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return e.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
+    return e.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), key, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    e = events.withWatermark(ts, late) if events.isStreaming else events
-    return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    e = _watermarked(events, ts, late)
+    return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
