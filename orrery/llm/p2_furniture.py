@@ -24,21 +24,31 @@ _MAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9.-]*[a-z0-9]")
 # Words before or behind which a line gives a person's name.
 _KO_NAME = re.compile(r"[가-힣]{2,4}(?=(?:선임|수습|객원|전문|인턴)?(?:기자|특파원|논설위원|통신원|리포터|앵커))")
 _EN_NAME = re.compile(r"(reporting|editing|written|story|photo|photographs|words|text|compiled)by[^;|,·/]*")
+_TITLE = re.compile("기자|특파원|논설위원|통신원|리포터|앵커")
 _DATE = re.compile(r"오전|오후|(?<=\d)(?:am|pm)")
+_DIGIT, _NUMBER, _ZEROS, _MARKS = re.compile(r"\d"), re.compile(r"\d[\d.,:/-]*"), re.compile("0+"), re.compile(r"[^\w@]+|_+")
+_NO_SIGN = {ord(c): None for c in "©ⓒⒸ"}
 
 
 def line_key(line: str) -> str:
     """The wording without spacing, case, punctuation, leading marks, numbers, dates, mail and personal names; empty for
     lines without letters and digits."""
-    s = unicodedata.normalize("NFKC", re.sub("[©ⓒⒸ]", "", line)).lower()
-    s = _MAIL.sub("@", s)
-    s = re.sub(r"\s+", "", s)
-    s = _EN_NAME.sub(r"\1by", s)
-    s = _KO_NAME.sub("", s)
-    s = _DATE.sub("", s)
-    s = re.sub(r"\d[\d.,:/-]*", "0", s)
-    s = re.sub(r"[^\w@]|_", "", s)
-    return re.sub(r"0+", "0", s) if re.search(r"\w", s) else ""
+    s = line if line.isascii() else unicodedata.normalize("NFKC", line.translate(_NO_SIGN))
+    s = s.lower()
+    if "@" in s:
+        s = _MAIL.sub("@", s)
+    s = "".join(s.split())
+    if "by" in s:
+        s = _EN_NAME.sub(r"\1by", s)
+    if _TITLE.search(s):
+        s = _KO_NAME.sub("", s)
+    if _DIGIT.search(s):
+        s = _NUMBER.sub("0", _DATE.sub("", s))
+        s = _ZEROS.sub("0", _MARKS.sub("", s))
+    else:
+        s = _DATE.sub("", s)
+        s = _MARKS.sub("", s)
+    return s if s.strip("@") else ""
 
 
 _LINES = "provider string, news_id string, part string, article long, line_no long, line long"
