@@ -21,6 +21,8 @@ MIN_LETTERS = 120
 MIN_MATCHED = 0.8
 MIN_HITS = 24
 MIN_RUN = 6
+#: Places of the first and the last hit in the item: a passage of 120 letters in runs that hold seeds spreads farther.
+MIN_SPREAD = 48
 #: Diagonals up to so far apart count as one alignment; each changed word moves the diagonal by a few letters.
 BAND = 32
 #: Test seeds in one block. The documents are read once per block; one block holds about 2,000 items of usual length.
@@ -105,36 +107,41 @@ class Index:
         band = (diag - diag.min()) // BAND
         width = int(band.max()) + 2
         key = h[:, 0] * width + band
-        keys, count = np.unique(key, return_counts=True)
-        nxt = np.searchsorted(keys, keys + 1)
-        with_next = count + np.where((nxt < len(keys)) & (keys[np.minimum(nxt, len(keys) - 1)] == keys + 1), count[np.minimum(nxt, len(keys) - 1)], 0)
+        order = np.argsort(key, kind="stable")
+        keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
+        at, diag = h[order, 1], diag[order]
+        low, high = np.minimum.reduceat(at, first), np.maximum.reduceat(at, first)
+        # A band and the next one together, so an alignment that crosses their border is seen as a whole.
+        joined = np.append(keys[1:] == keys[:-1] + 1, False)
+        nxt = np.minimum(np.arange(len(keys)) + 1, len(keys) - 1)
+        hits = count + np.where(joined, count[nxt], 0)
+        low, high = np.where(joined, np.minimum(low, low[nxt]), low), np.where(joined, np.maximum(high, high[nxt]), high)
         out = set()
-        for k in keys[with_next >= MIN_HITS]:
-            item = int(k // width)
-            if item in out:
-                continue
-            sel = (key == k) | (key == k + 1)
-            if passage(*self.texts[item], codes, words, np.unique(diag[sel]), int(h[sel, 1].min()), int(h[sel, 1].max())):
-                out.add(item)
+        for k in np.flatnonzero((hits >= MIN_HITS) & (high - low >= MIN_SPREAD)):
+            item = int(keys[k] // width)
+            if item not in out:
+                d = diag[first[k] : first[k] + hits[k]]
+                if passage(*self.texts[item], codes, words, int(d.min()), int(d.max()), int(low[k]), int(high[k])):
+                    out.add(item)
         return [self.ids[k] for k in out]
 
 
-def passage(a, aw, b, bw, diags, lo: int, hi: int) -> bool:
+def passage(a, aw, b, bw, d0: int, d1: int, lo: int, hi: int) -> bool:
     """Whether a chain of equal runs around a[lo:hi], each link across at most one changed word, reaches the length.
 
-    Runs are looked for on the diagonals of the hits and, since a run between two changed words may be too short for a
-    seed, on all diagonals between them and a few beyond."""
-    n, m = len(a), len(b)
-    runs = []
-    for d in range(int(diags[0]) - 6, int(diags[-1]) + 7):
-        s, e = max(0, -d, lo - 300), min(n, m - d, hi + 324)
-        if e - s < MIN_RUN:
-            continue
-        eq = np.flatnonzero(np.diff(np.concatenate([[0], (a[s:e] == b[s + d : e + d]).view(np.int8), [0]])))
-        for x, y in zip(eq[::2], eq[1::2]):
-            if y - x >= MIN_RUN:
-                runs.append((int(s + x), int(s + y), d))
-    runs.sort()
+    Runs are looked for on all diagonals from d0 to d1 and a few beyond, since a run between two changed words may be too
+    short for a seed."""
+    s0, e0 = max(0, lo - 300), min(len(a), hi + 324)
+    diags = np.arange(d0 - 6, d1 + 7)
+    place = np.arange(s0, e0) + diags[:, None]
+    inside = (place >= 0) & (place < len(b))
+    equal = np.zeros((len(diags), e0 - s0 + 2), dtype=np.int8)
+    equal[:, 1:-1] = (b[np.clip(place, 0, len(b) - 1)] == a[s0:e0]) & inside
+    turn = np.diff(equal, axis=1)
+    row, begin = np.nonzero(turn == 1)
+    end = np.nonzero(turn == -1)[1]
+    long = end - begin >= MIN_RUN
+    runs = sorted(zip((begin[long] + s0).tolist(), (end[long] + s0).tolist(), diags[row[long]].tolist()))
     best: list[tuple[int, int]] = []  # matched letters and begin of the best chain that ends with the run
     for i, (s, e, d) in enumerate(runs):
         top = (e - s, s)
