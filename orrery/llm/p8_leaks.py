@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Masks over consecutive letters and digits: 1 is compared, 0 ignored. Each fits into an unchanged stretch of 24.
+#: Masks over consecutive letters and digits, in groups of 8: 1 is compared, 0 ignored. Each fits into an unchanged
+#: stretch of 24.
 MASKS = ("1111111111111111", "111111110000000011111111")
 MIN_LETTERS = 120
 MIN_MATCHED = 0.8
@@ -31,31 +32,39 @@ BLOCK_SEEDS = 2_000_000
 FILTER = 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
+_FACTOR = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)}
 
 
-def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the letters and digits in folded form, and the number of the word each belongs to."""
-    s = unicodedata.normalize("NFKC", text).casefold()
-    words = _WORD.findall(s)
-    joined = "".join(words)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return codes, np.repeat(np.arange(len(words)), [len(w) for w in words])
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold())
 
 
-def seeds(codes: np.ndarray, mask: str) -> np.ndarray:
-    """Hash at every start position."""
-    n = len(codes) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.full(n, np.uint64(len(mask) * 2 + 1))
-    c = codes.astype(np.uint64)
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += c[k : k + n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+def letters(words: list[str]) -> np.ndarray:
+    """Code points of the letters and digits."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def numbers(words: list[str]) -> np.ndarray:
+    """The number of the word that each letter belongs to."""
+    return np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+
+def seeds(codes: np.ndarray) -> list[np.ndarray]:
+    """For each mask the hash at every start position: windows of 8 letters are hashed by doubling and then put together."""
+    h = codes.astype(np.uint64)
+    for k in (1, 2, 4):
+        h = (h[:-k] * _FACTOR[k] + h[k:]) if len(h) > k else h[:0]
+    out = []
+    for mask in MASKS:
+        n = max(0, len(codes) - len(mask) + 1)
+        x = np.zeros(n, dtype=np.uint64)
+        for at in range(0, len(mask), 8):
+            if mask[at : at + 8] == "1" * 8:
+                x = x * _FACTOR[8] + h[at : at + n]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(x ^ (x >> np.uint64(32)))
+    return out
 
 
 class Index:
@@ -63,12 +72,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.texts = [letters(t) for _, t in items]
+        split = [words_of(t) for _, t in items]
+        self.texts = [(letters(w), numbers(w)) for w in split]
+        all_seeds = [seeds(codes) for codes, _ in self.texts]
         per_mask = []
-        for mask in MASKS:
+        for m in range(len(MASKS)):
             hs, its, ps = [], [], []
-            for k, (codes, _) in enumerate(self.texts):
-                h = seeds(codes, mask)
+            for k, own in enumerate(all_seeds):
+                h = own[m]
                 hs.append(h)
                 its.append(np.full(len(h), k, dtype=np.int32))
                 ps.append(np.arange(len(h), dtype=np.int32))
@@ -82,8 +93,7 @@ class Index:
     def hits(self, codes: np.ndarray) -> np.ndarray:
         """Distinct rows (item, item place, document place)."""
         out = []
-        for mask, (h, it, p, some) in zip(MASKS, self.masks):
-            s = seeds(codes, mask)
+        for s, (h, it, p, some) in zip(seeds(codes), self.masks):
             if not len(s) or not len(h):
                 continue
             at = np.flatnonzero(some[s & np.uint64(FILTER - 1)])
@@ -99,7 +109,8 @@ class Index:
 
     def leaked(self, text: str) -> list[int]:
         """The ids of the items of which the text holds a passage."""
-        codes, words = letters(text)
+        split = words_of(text)
+        codes, words = letters(split), None
         h = self.hits(codes)
         if len(h) < MIN_HITS:
             return []
@@ -121,6 +132,7 @@ class Index:
             item = int(keys[k] // width)
             if item not in out:
                 d = diag[first[k] : first[k] + hits[k]]
+                words = numbers(split) if words is None else words
                 if passage(*self.texts[item], codes, words, int(d.min()), int(d.max()), int(low[k]), int(high[k])):
                     out.add(item)
         return [self.ids[k] for k in out]
@@ -179,7 +191,7 @@ def blocks(items: DataFrame, size: int):
     passage can't leak."""
     block, n = [], 0
     for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
-        k = len(letters(r["text"])[0])
+        k = sum(map(len, words_of(r["text"])))
         if k < MIN_LETTERS:
             continue
         block.append((int(r["item_id"]), r["text"]))
