@@ -135,7 +135,7 @@ def readings(run: str) -> list[tuple[str, int]]:
                 s = b.decode(right)
             except UnicodeError:
                 continue
-            if s != run and (right == "utf-8" or len(b) >= 4 and sum("가" <= ch <= "힣" for ch in s) * 2 >= len(s)):
+            if s != run and (right == "utf-8" or sum("가" <= ch <= "힣" for ch in s) * 2 >= len(s)):
                 out.append((s, sum(ord(ch) >= 0x80 for ch in s)))
     return out
 

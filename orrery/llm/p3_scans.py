@@ -30,7 +30,7 @@ PAIRS = {"0|": "이", "O|": "이", "7|": "기", "rn": "m"}
 LATIN = {"c": "e", "0": "o", "1": "l", "|": "I", "4": "A"}
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "Z": "2", "S": "5", "b": "6", "B": "8"}
 SPECKS = "■¦|"
-LOG_HANGUL, LOG_PAIR, LOG_LATIN, LOG_DIGIT, LOG_SPECK = -0.5, -0.5, -3.0, -1.5, -0.5
+LOG_HANGUL, LOG_PAIR, LOG_LATIN, LOG_DIGIT, LOG_SPECK = -0.1, -0.5, -3.0, -1.5, -0.5
 
 _SUSPECT = re.compile("[" + "".join(HANGUL) + SPECKS + r"]|[A-Za-z][014]|[014][A-Za-z]|[OolIZSbB][\d.,]|[\d.,][OolIZSbB]|제[OolIZSbB]|(?<![A-Za-z])[OolIZSbB]{1,3}(?![A-Za-z])|[A-Za-z]c|c[A-Za-z]|rn")
 _HYPHENS = "-–‐­¬"
@@ -103,8 +103,8 @@ class Grams:
             for k in range(len(s)):
                 n = self.count(s[k:])
                 below = self.count(s[k:-1]) if k < len(s) - 1 else self.total
-                if n >= 1 and below >= 1:
-                    got = factor + math.log(min(1.0, n / below))
+                if n >= 2 and below >= 2:  # one count is the line itself, which must not vouch for itself
+                    got = factor + math.log(min(1.0, (n - 1) / (below - 1)))
                     break
                 factor += math.log(BACKOFF)
             if len(self.known) > 500_000:  # a memory bound; the value is the same either way
