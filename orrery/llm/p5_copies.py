@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import broadcast_checked
+
 _NON = re.compile(r"[\W_]+")
 _FIELD = re.compile(r"^\W*[^\W\d_]{1,10}\s*[:：]")
 #: From so many `label: value` lines on, a content counts as made of fields.
@@ -79,21 +81,27 @@ def groups(articles: DataFrame) -> DataFrame:
     provider, under the empty name. Rows loaded again are one member; a news_id whose contents differ stands with each.
     """
     base = articles.where(F.col("news_id").isNotNull() & F.col("content").isNotNull()).select(F.coalesce(loose(F.col("provider")), F.lit("")).alias("provider"), "news_id", "content")
-    cheap = base.mapInPandas(_invariants, "provider string, news_id string, n int, hist long").where("n > 0").distinct()
-    classes = cheap.groupBy("provider", "n", "hist").agg(F.count("*").alias("members")).where("members > 1").drop("members")
+    cheap = base.mapInPandas(_invariants, "provider string, news_id string, n int, hist long").where("n > 0").distinct().persist()
+    classes = cheap.groupBy("provider", "n", "hist").agg(F.count("*").alias("members")).where("members > 1")
     rest = salted_join(cheap, classes, ["provider", "n", "hist"]).select("provider", "news_id").distinct()
     keyed = base.join(rest, ["provider", "news_id"], "left_semi").mapInPandas(_keyed, "provider string, news_id string, k1 long, k2 long").distinct().persist()
-    one = keyed.groupBy("provider", "k1").agg(F.min("k2").alias("g"))
+    one = keyed.groupBy("provider", "k1").agg(F.min("k2").alias("g"), F.count("*").alias("members"))
     split = salted_join(keyed, one, ["provider", "k1"]).select("provider", "news_id", "g").persist()
-    kept = split.groupBy("provider", "g").agg(F.min("news_id").alias("keep"), F.max("news_id").alias("last")).where("keep < last").drop("last")
+    kept = split.groupBy("provider", "g").agg(F.min("news_id").alias("keep"), F.max("news_id").alias("last"), F.count("*").alias("members")).where("keep < last").drop("last")
     return salted_join(split, kept, ["provider", "g"]).select("provider", "news_id", "keep").distinct()
 
 
-def salted_join(rows: DataFrame, one: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
-    """Join rows to a table with one row per key, under salts, so a key that holds a third of all rows is spread over
-    many tasks; the small side is repeated once per salt."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    return salted.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"]).drop("_salt")
+def salted_join(rows: DataFrame, one: DataFrame, on: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:
+    """Join rows to a table with one row per key and the key's `members`. Keys with more than `hot` members are spread over
+    salts, so a key that holds a third of all rows fills many tasks; the others are joined as they are. There are at most
+    rows / hot such keys."""
+    big = one.where(F.col("members") > hot).select(*on)
+    if big.limit(1).count() == 0:
+        return rows.join(one.drop("members"), on)
+    marked = rows.join(broadcast_checked(big).withColumn("_hot", F.lit(True)), on, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(0)
+    spread = F.when(F.col("members") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("_salt", salt).drop("_hot").join(one.withColumn("_salt", F.explode(spread)).drop("members"), [*on, "_salt"]).drop("_salt")
 
 
 def found(articles: DataFrame) -> DataFrame:

@@ -118,5 +118,17 @@ UNION SELECT 'chunks', chunk_id FROM chunks WHERE length(text) > 1500 AND chunk_
 """
 
 
+_STRIP = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_FIELD = r"regexp_matches(x, '^[^\p{L}\p{N}_]*[\p{L}\p{Nl}\p{No}]{1,10}[\s\p{Z}]*[:：]')"
+_P5_FOUND = f"""
+WITH b AS (SELECT DISTINCT coalesce(lower(trim(provider, E' \\t\\n\\r')), '') AS p, news_id, content FROM news_articles WHERE news_id IS NOT NULL AND content IS NOT NULL),
+s AS (SELECT p, news_id, {_STRIP.format('content')} AS k1, list_filter(string_split(content, chr(10)), lambda x: {_FIELD}) AS fl, list_filter(string_split(content, chr(10)), lambda x: NOT {_FIELD}) AS rl FROM b),
+k AS (SELECT p, news_id, k1, CASE WHEN len(fl) < 3 THEN k1 ELSE {_STRIP.format("array_to_string(rl, '')")} || chr(10) || array_to_string(list_sort(list_transform(fl, lambda x: {_STRIP.format('x')})), chr(10)) END AS k2 FROM s WHERE k1 <> ''),
+g AS (SELECT *, min(k2) OVER (PARTITION BY p, k1) AS g FROM k),
+h AS (SELECT *, min(news_id) OVER (PARTITION BY p, g) AS keep FROM g)
+SELECT DISTINCT keep AS news_id_keep, news_id AS news_id_copy FROM h WHERE news_id <> keep
+"""
+
+
 def oracle_sql():
-    return {"p7_found": _P7_FOUND}
+    return {"p5_found": _P5_FOUND, "p7_found": _P7_FOUND}

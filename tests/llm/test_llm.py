@@ -153,7 +153,8 @@ def test_copies(spark):
     assert c["1"] == 2 and c["5"] == 3 and c["4"] == 1 and c["8"] == 1
 
 
-def test_hot_group_of_copies(spark):
+def test_hot_group_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(p5_copies.salted_join, "__defaults__", (500, 8))
     df = news(spark, [(f"{i:05d}", "p", "같은 글" + "!" * (i % 3)) for i in range(3000)])
     got = p5_copies.found(df)
     assert got.count() == 2999 and got.select("news_id_keep").distinct().collect()[0][0] == "00000"
