@@ -142,31 +142,48 @@ def options(s: str, i: int):
         yield 1, "", LOG_SPECK
 
 
+def _plain(s: str) -> str:
+    return "".join("0" if ch.isdigit() else " " if ch.isspace() else ch for ch in s)
+
+
 def decode(g: Grams, s: str) -> str:
-    """The likeliest printed line behind the line read. States are the last three printed characters."""
+    """The likeliest printed line behind the line read. Where nothing can be read otherwise for more than the reach of the
+    n-grams, all paths meet in one state, so only the stretches between such places are searched."""
     if not _SUSPECT.search(s):
         return s
-    n = len(s)
-    states: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-    states[0][" "] = (0.0, "")
-
-    def put(to: int, score: float, out: str, tail: str):
-        old = states[to].get(tail)
-        if old is None or score > old[0]:
-            states[to][tail] = (score, out)
-
-    for i in range(n):
-        alternatives = list(options(s, i))
-        for tail, (score, out) in states[i].items():
+    choices = {i: alt for i in range(len(s)) if (alt := list(options(s, i)))}
+    out, last = [], 0
+    at = sorted(choices)
+    k = 0
+    while k < len(at):
+        begin = at[k]
+        end = begin
+        while k < len(at) and at[k] <= end + ORDER:
+            end = max(end, at[k] + max(take for take, _, _ in choices[at[k]]))
+            k += 1
+        end = min(len(s), end + ORDER - 1)
+        out += [s[last:begin], _best(g, s, begin, end, choices)]
+        last = end
+    return "".join([*out, s[last:]])
+
+
+def _best(g: Grams, s: str, begin: int, end: int, choices: dict) -> str:
+    """Viterbi over s[begin:end]; states are the last three printed characters."""
+    states: list[dict[str, tuple[float, str]]] = [{} for _ in range(end - begin + 1)]
+    states[0][_plain(s[max(0, begin - ORDER + 1) : begin]) or " "] = (0.0, "")
+    for i in range(begin, end):
+        alternatives = [x for x in choices.get(i, ()) if i + x[0] <= end]
+        for tail, (score, out) in states[i - begin].items():
             for take, printed, log in ((1, s[i], 0.0), *alternatives):
                 t, sc = tail, score + log
-                for ch in printed:
-                    c = "0" if ch.isdigit() else " " if ch.isspace() else ch
+                for c in _plain(printed):
                     sc += g.log(t, c)
                     t = (t + c)[-(ORDER - 1) :]
-                put(i + take, sc, out + printed, t)
-        states[i] = {}
-    return max(states[n].values(), key=lambda x: x[0])[1]
+                place = states[i - begin + take]
+                old = place.get(t)
+                if old is None or sc > old[0]:
+                    place[t] = (sc, out + printed)
+    return max(states[-1].values(), key=lambda x: x[0])[1]
 
 
 # -- page furniture and cut words ---------------------------------------------------------------------------------
