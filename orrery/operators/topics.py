@@ -52,9 +52,9 @@ def centroids(vectors: DataFrame, group: str, vector: str, outlier: int | None =
 
 
 def nearest_members(vectors: DataFrame, group: str, key: str, vector: str, cents: DataFrame, k: int = 5) -> DataFrame:
-    """(group, key, distance): the k members of each group nearest to its centroid (L2). Centroids are few: one per topic."""
+    """(group, key, distance): the k members of each group nearest to its centroid (L2)."""
     square = F.aggregate(F.zip_with(F.col(vector), F.col("centroid"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    d = vectors.join(F.broadcast(cents), group).select(group, key, F.sqrt(square).alias("distance"))
+    d = vectors.join(cents, group).select(group, key, F.sqrt(square).alias("distance"))
     w = Window.partitionBy(group).orderBy("distance", key)
     return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 

@@ -269,4 +269,5 @@ SQL = {
     "a14_base_law": f"WITH {_BILLS}, l AS (SELECT bill_id, {_LAW} AS law FROM bills) SELECT bill_id, law, {_SHORT} AS short FROM l",
     "a17_title_keyword": r"SELECT news_id, ingested_at FROM news_articles WHERE regexp_matches(title, '(?i)\bAI\b|artificial intelligence|\bA\.I\.|인공지능')",
     "a18_prompt": "SELECT bill_id, classified_at, '법안명: ' || coalesce(title, '') || E'\\n\\n' || substr(coalesce(secondary_attr, ''), 1, 12) AS prompt FROM bill_classifications",
+    "a19_candidates": r"WITH t AS (SELECT bill_id, coalesce(nullif(reason_and_content, ''), full_text) AS body FROM bill_text), n AS (SELECT bill_id, (len(regexp_extract_all(body, '인공\s*지능')) + len(list_filter(regexp_extract_all(body, '[A-Za-z]+'), lambda x: x = 'AI')) + len(regexp_extract_all(body, 'A\.I\.?')))::INT AS n FROM t) SELECT DISTINCT bill_id, n FROM n WHERE n >= 3",
 }

@@ -58,7 +58,6 @@ STATEMENTS = {
     "s_topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", None),
     "s_offset": ("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20", None),
     "s_like": ("SELECT p_partkey FROM part WHERE p_type LIKE '%BRASS%' OR lower(p_name) LIKE '%a%e%'", None),
-    "s_asof": ("SELECT e.event_id, max(p.event_id) AS prev FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts AND p.event_id < e.event_id GROUP BY e.event_id", None),
 }
 
 
