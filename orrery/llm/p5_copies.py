@@ -93,13 +93,13 @@ def groups(articles: DataFrame) -> DataFrame:
 
 def salted_join(rows: DataFrame, one: DataFrame, on: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:
     """Join rows to a table with one row per key and the key's `members`. Keys with more than `hot` members are spread over
-    salts, so a key that holds a third of all rows fills many tasks; the others are joined as they are. There are at most
+    salts, taken from the rows themselves so that a task that runs again gives the same, so a key that holds a third of all rows fills many tasks; the others are joined as they are. There are at most
     rows / hot such keys."""
     big = one.where(F.col("members") > hot).select(*on)
     if big.limit(1).count() == 0:
         return rows.join(one.drop("members"), on)
     marked = rows.join(broadcast_checked(big).withColumn("_hot", F.lit(True)), on, "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(0)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
     spread = F.when(F.col("members") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return marked.withColumn("_salt", salt).drop("_hot").join(one.withColumn("_salt", F.explode(spread)).drop("members"), [*on, "_salt"]).drop("_salt")
 

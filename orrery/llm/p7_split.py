@@ -112,16 +112,17 @@ def _cut(limit: int, overlap: int, oversized_only: bool, with_text: bool):
     return run
 
 
-def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = False, with_text: bool = True) -> DataFrame:
+def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = False, with_text: bool = True, unique: bool = True) -> DataFrame:
     """Pieces of (item_table, item_key, text) items: at most `limit` code points each, `overlap` of them shared with the
     piece before; start and end count code points from 0. Null and empty texts have no pieces, texts within the limit
-    one. Repeated items come out once per distinct text."""
+    one. Repeated items come out once per distinct text, unless `unique` is off, which saves a shuffle of the texts."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
     src = items.where(F.col("text").isNotNull() & F.col("item_key").isNotNull())
     if oversized_only:
         src = src.where(F.length("text") > limit)
-    return src.select("item_table", "item_key", "text").mapInPandas(_cut(limit, overlap, oversized_only, with_text), _PIECES)
+    src = src.select("item_table", "item_key", "text")
+    return (src.distinct() if unique else src).mapInPandas(_cut(limit, overlap, oversized_only, with_text), _PIECES)
 
 
 def items(bill_text: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -135,4 +136,4 @@ def items(bill_text: DataFrame, documents: DataFrame, chunks: DataFrame) -> Data
 
 def found(all_items: DataFrame) -> DataFrame:
     """Items that needed more than one piece."""
-    return pieces(all_items, oversized_only=True, with_text=False).where("piece_no = 2").select("item_table", "item_key").distinct()
+    return pieces(all_items, oversized_only=True, with_text=False, unique=False).where("piece_no = 2").select("item_table", "item_key").distinct()

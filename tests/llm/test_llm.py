@@ -248,6 +248,12 @@ def test_pieces_cover_the_text(text, limit, overlap):
         assert [e for _, e in c] == walk
 
 
+def test_repeated_items(spark):
+    df = spark.createDataFrame([("chunks", "a", "x" * 1600)] * 2 + [("chunks", "a", "y"), ("chunks", None, "z"), ("chunks", "b", None), ("chunks", "c", "")], "item_table string, item_key string, text string")
+    assert sorted((r.item_key, r.piece_no, r.start, r.end) for r in p7_split.pieces(df).collect()) == [("a", 1, 0, 1), ("a", 1, 0, 1500), ("a", 2, 1300, 1600)]
+    assert [tuple(r) for r in p7_split.found(df).collect()] == [("chunks", "a")]
+
+
 def test_natural_cuts():
     text = ("가나다 라마바. " * 60 + "\n\n") * 4
     ends = [e for _, e in p7_split.cuts(text)][:-1]
