@@ -3,7 +3,8 @@
 Each transcript is parsed line by line into stretches of speech. Labels that give a full name build a roster of
 persons and roles, per transcript and across transcripts; labels that give only a role, only a family name or a
 misspelled name are blocked phonetically and assigned to the roster at least cost, each label to another person.
-Only labels that their own transcript leaves open go to the cross-transcript roster.
+Chunks take the persons of the transcript that they were cut from. Only labels that their own transcript leaves open
+go to the cross-transcript roster.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.llm.assign import least_cost
 
@@ -50,6 +52,8 @@ _LABELS = [
         rf"^{_BULLET}\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})(?=\s|$)",
     )
 ]
+#: Words for a committee that name none.
+_NO_BODY = frozenset(x + "위원회" for x in "소 본 각 이 그 동 당 귀 양 해당 전체 상임 특별 우리 저희".split())
 _FILLER_SET = frozenset(FILLERS)
 _FAMILY_SET = frozenset(FAMILY)
 _VOWEL = {1: 5, 3: 7, 10: 11, 15: 11}  # ㅐ as ㅔ, ㅒ as ㅖ, ㅙ and ㅞ as ㅚ
@@ -118,12 +122,24 @@ def roster(labels) -> dict[str, Counter]:
     return out
 
 
-def assign(labels, people: dict[str, Counter]) -> dict[tuple[str, str], str]:
+def body_of(text: str) -> str:
+    """The first committee that the text names, or ''."""
+    for m in re.finditer("위원회", text):
+        s = m.start()
+        while s and "가" <= text[s - 1] <= "힣":
+            s -= 1
+        if s < m.start() and text[s : m.end()] not in _NO_BODY:
+            return text[s : m.end()]
+    return ""
+
+
+def assign(labels, people: dict[str, Counter], across: bool = False) -> dict[tuple[str, str], str]:
     """Person of each (name, role) label, by optimal assignment inside phonetic blocks.
 
     Full names go to the person whose name sounds alike. Labels with a family name or none at all compete for the
     persons of that family and role: different labels of one kind go to different persons where there are enough.
-    Labels that nobody fits are left out.
+    Labels that nobody fits are left out. Across transcripts a person must be known in the label's role, and of those
+    who are the one seen most often is the cheapest.
     """
     out: dict[tuple[str, str], str] = {}
     by_sound = {phonetic(n): n for n in people}
@@ -144,7 +160,9 @@ def assign(labels, people: dict[str, Counter]) -> dict[tuple[str, str], str]:
                     continue
                 roles = {x for x in people[p] if x}
                 if r in roles:
-                    cost[i, j] = 0
+                    cost[i, j] = 1e-3 / (1 + people[p][r]) if across else 0
+                elif across:
+                    continue
                 elif n:
                     cost[i, j] = 2 if not roles else 10
                 elif not roles:
@@ -155,30 +173,53 @@ def assign(labels, people: dict[str, Counter]) -> dict[tuple[str, str], str]:
     return out
 
 
-_PARSED = "item_table string, doc_id string, source string, body string, pos int, name string, role string, who string, speech string"
+_PARSED = "item_table string, doc_id string, source string, meeting string, body string, pos int, name string, role string, who string, speech string"
 
 
 def _parse(batches):
     for pdf in batches:
         rows = []
-        for tab, doc, src, text in zip(pdf["item_table"], pdf["doc_id"], pdf["source"], pdf["text"]):
+        for tab, doc, src, text, meeting, committee in zip(pdf["item_table"], pdf["doc_id"], pdf["source"], pdf["text"], pdf["meeting"], pdf["committee"]):
+            text = unicodedata.normalize("NFC", text)
             parts = stretches(text)
             labels = [(n, r) for n, r, _ in parts]
             found = assign(labels, roster(labels))
-            m = re.search(r"[가-힣]+위원회", text[:400])
+            body = body_of(unicodedata.normalize("NFC", committee)) if isinstance(committee, str) else ""
+            body = body or body_of(text)
             for k, (n, r, speech) in enumerate(parts):
-                rows.append((tab, doc, src, m[0] if m else "", k, n, r, found.get((n, r)), speech))
+                rows.append((tab, doc, src, meeting, body, k, n, r, found.get((n, r)), speech))
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARSED.split(", ")])
 
 
+def _meeting(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The persons of one meeting's labels: those of its transcript, as the transcript itself has them, and those that only
+    its chunks have."""
+    pdf = pdf.sort_values(["cut", "pos", "name", "role"])
+    seen = [((n, r), k, c) for n, r, k, c in zip(pdf["name"], pdf["role"], pdf["n"], pdf["cut"])]
+    own = [x for x, k, cut in seen if not cut for _ in range(k)]
+    every = [x for x, k, _ in seen for _ in range(k)]
+    taken = assign(own, roster(own))
+    known = set(own)
+    taken |= assign([x for x in every if x not in known], roster(every))
+    first = pdf.iloc[0]
+    return pd.DataFrame([(first["meeting"], first["source"], n, r, p) for (n, r), p in taken.items()], columns=["meeting", "source", "name", "role", "own"])
+
+
+def _of_meeting(parsed: DataFrame) -> DataFrame:
+    """Chunks with the persons of the meeting their `meeting` names; other items as they are."""
+    cut = F.col("meeting") != F.col("doc_id")
+    labels = parsed.where("meeting is not null").groupBy("meeting", "source", cut.alias("cut"), "name", "role").agg(F.count("*").cast("int").alias("n"), F.min("pos").alias("pos"))
+    persons = labels.groupBy("meeting", "source").applyInPandas(_meeting, "meeting string, source string, name string, role string, own string")
+    return parsed.join(persons, ["meeting", "source", "name", "role"], "left").withColumn("who", F.when(cut, F.col("own")).otherwise(F.col("who"))).drop("own")
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """One transcript's open labels against its candidates from other transcripts."""
     labels = list(dict.fromkeys(zip(pdf["name"], pdf["role"])))
     people: dict[str, Counter] = defaultdict(Counter)
-    for n, r, k in zip(pdf["cand"], pdf["cand_role"], pdf["seen"]):
-        if isinstance(n, str):
-            people[n][r] += int(k)
-    taken = assign(labels, people)
+    for n, r, k in dict.fromkeys(zip(pdf["cand"], pdf["role"], pdf["seen"])):
+        people[n][r] += int(k)
+    taken = assign(sorted(labels), people, across=True)
     first = pdf.iloc[0]
     return pd.DataFrame(
         [(first["item_table"], first["doc_id"], first["source"], n, r, taken[n, r]) for n, r in labels if (n, r) in taken],
@@ -192,20 +233,24 @@ def turns(transcripts: DataFrame) -> DataFrame:
     Transcripts must be unique by their first three columns. Null texts and texts without labels give no turns; a
     speaker whom neither the transcript nor the cross-transcript roster knows is named by the label itself. Texts of
     any length are read whole; each is one row of the input, so its stretches fit where the text fits.
+
+    The columns `meeting` (for a piece of a transcript the doc_id of the whole, whose persons it takes) and `committee`
+    may be left out; without a committee the first one that the text names counts.
     """
-    parsed = transcripts.where(F.col("text").isNotNull()).select("item_table", "doc_id", "source", "text").mapInPandas(_parse, _PARSED)
-    parsed = parsed.persist()
-    open_ = parsed.where(F.col("who").isNull() & (F.length("name") < 3)).select("item_table", "doc_id", "source", "body", "name", "role").distinct()
-    # The roster has a row per person, role and body; only the best-known persons of a family and role can be meant, the
-    # three best of each block at most for every label that competes.
-    known = parsed.where(F.length("who") == 3).groupBy("body", "role", F.col("who").alias("cand")).agg(F.countDistinct("doc_id", "source").alias("seen"))
-    best = known.groupBy("body", F.substring("cand", 1, 1).alias("family"), "role").agg(F.max(F.struct("seen", "cand")).alias("b"))
-    options = open_.join(best, ["body", "role"]).where((F.col("name") == "") | (F.col("name") == F.col("family")))
-    settled = (
-        options.select("item_table", "doc_id", "source", "name", "role", F.col("b.cand").alias("cand"), F.col("role").alias("cand_role"), F.col("b.seen").alias("seen"))
-        .groupBy("item_table", "doc_id", "source")
-        .applyInPandas(_settle, "item_table string, doc_id string, source string, name string, role string, other string")
-    )
+    pieces = "meeting" in transcripts.columns
+    extra = [F.col(c) if c in transcripts.columns else F.lit(None).cast("string").alias(c) for c in ("meeting", "committee")]
+    parsed = transcripts.where(F.col("text").isNotNull()).select("item_table", "doc_id", "source", "text", *extra).mapInPandas(_parse, _PARSED)
+    parsed = (_of_meeting(parsed.persist()) if pieces else parsed).persist()
+    item = ["item_table", "doc_id", "source"]
+    open_ = parsed.where(F.col("who").isNull() & (F.length("name") < 3) & (F.col("body") != "")).select(*item, "body", "name", "role").distinct()
+    # The roster has a row per person, role and body. With k open labels in a transcript, k - 1 at most of a label's
+    # candidates can be taken by the others, so no assignment of least cost goes beyond its k best.
+    known = parsed.where((F.length("who") == 3) & (F.col("body") != "")).groupBy("body", "role", F.col("who").alias("cand")).agg(F.countDistinct(F.coalesce("meeting", "doc_id"), "source").alias("seen"))
+    family, order = F.substring("cand", 1, 1), [F.desc("seen"), F.asc("cand")]
+    ranked = known.withColumn("family", family).withColumn("at", F.row_number().over(Window.partitionBy("body", "role").orderBy(*order))).withColumn("at_family", F.row_number().over(Window.partitionBy("body", "role", "family").orderBy(*order)))
+    competing = open_.withColumn("k", F.count("*").over(Window.partitionBy(*item)))
+    options = competing.join(ranked, ["body", "role"]).where(F.when(F.col("name") == "", F.col("at") <= F.col("k")).otherwise((F.col("name") == F.col("family")) & (F.col("at_family") <= F.col("k"))))
+    settled = options.select(*item, "name", "role", "cand", "seen").groupBy(*item).applyInPandas(_settle, "item_table string, doc_id string, source string, name string, role string, other string")
     keys = ["item_table", "doc_id", "source", "name", "role"]
     named = parsed.join(settled, keys, "left").where(F.col("speech") != "")
     speaker = F.coalesce("who", "other", F.when(F.col("name") != "", F.col("name")), F.col("role"))
@@ -231,8 +276,8 @@ def _merged(s):
 
 
 def minutes(documents: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """The transcripts of both tables, one row per (doc_id, source) or chunk. Repeated rows of a document keep the
-    text fetched last (ties: the greater text)."""
+    """The transcripts of both tables, one row per (doc_id, source) or chunk, with the meeting and committee of chunks.
+    Repeated rows of a document keep the text fetched last (ties: the greater text)."""
     docs = (
         documents.where(F.col("source").startswith("minutes_") & F.col("full_text").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id", "source")
@@ -242,9 +287,9 @@ def minutes(documents: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     if chunks is None:
         return docs
     sub = F.regexp_replace(F.lower(F.trim("sub_source")), r"[\s-]+", "_")
-    return docs.unionByName(
+    return docs.withColumns({"meeting": F.col("doc_id"), "committee": F.lit(None).cast("string")}).unionByName(
         chunks.where(sub.startswith("minutes_") & F.col("text").isNotNull() & F.col("chunk_id").isNotNull())
         .groupBy(F.col("chunk_id").alias("doc_id"), sub.alias("source"))
-        .agg(F.max("text").alias("text"))
-        .select(F.lit("chunks").alias("item_table"), "doc_id", "source", "text")
+        .agg(F.max(F.struct("text", F.col("doc_id").alias("meeting"), "committee")).alias("m"))
+        .select(F.lit("chunks").alias("item_table"), "doc_id", "source", "m.text", "m.meeting", "m.committee")
     )

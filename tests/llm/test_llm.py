@@ -79,6 +79,27 @@ def test_cross_transcript_roster(spark):
     assert got["d", 1] == "김가나" and got["d", 2] == "최" and got["e", 1] == "위원장"
 
 
+def test_chunks_take_the_roster_of_their_transcript(spark):
+    whole = "보건위원회\n김가나 위원장: 하나\n김다라 위원장: 둘\n이마바 위원: 셋\n" + "긴 말\n" * 200
+    docs = [("d", "minutes_plenary", whole, 1), ("e", "minutes_plenary", "◯위원장 말씀", 1)]
+    d = spark.createDataFrame(docs, "doc_id string, source string, full_text string, fetched_at int")
+    cuts = [("c1", "이위원: 넷", "d", "보건위원회"), ("c2", "김다라 위원장: 다섯\n위원: 여섯", "d", None), ("c3", "◯위원장 말씀", "x", "보건위원회"), ("c4", "◯위원장 말씀", None, None)]
+    c = spark.createDataFrame(cuts, "chunk_id string, text string, doc_id string, committee string").withColumn("sub_source", F.lit("Minutes plenary"))
+    got = {(r.item_table, r.doc_id, r.turn_no): r.speaker for r in p1_turns.turns(p1_turns.minutes(d, c)).collect()}
+    assert got["chunks", "c1", 1] == "이마바" and got["chunks", "c2", 2] == "이마바"
+    assert got["chunks", "c3", 1] in ("김가나", "김다라")  # by its committee
+    assert got["document_text", "e", 1] == got["chunks", "c4", 1] == "위원장"  # of no known committee
+
+
+def test_roster_keeps_every_candidate(spark):
+    known = [("보건위원회", "가가나 위원", 1), ("보건위원회", "김다라 위원", 3), ("보건위원회", "김가나 위원", 2), ("보건위원회", "김다라 의원", 3)]
+    rows = [("document_text", f"{lab}{i}", "minutes_plenary", f"{lab}: 말\n" + "긴 말\n" * 200 + f"{body} 회의") for body, lab, n in known for i in range(n)]
+    rows.append(("document_text", "d", "minutes_plenary", "보건위원회\n김위원: 하나\n김의원: 둘"))
+    df = spark.createDataFrame(rows, "item_table string, doc_id string, source string, text string")
+    got = {r.turn_no: r.speaker for r in p1_turns.turns(df).where("doc_id = 'd'").collect()}
+    assert got == {1: "김가나", 2: "김다라"}
+
+
 def test_least_cost():
     rng = np.random.default_rng(0)
     from itertools import combinations, permutations
