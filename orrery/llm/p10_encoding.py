@@ -25,6 +25,10 @@ BITS = 1.0
 MAX_ROUNDS = 3
 
 _WRONG = ("sloppy", "mac_roman", "cp850", "cp437", "cp949", "iso8859_15")
+#: Hangul that UTF-8 of two bytes gives when it is read as cp949; UTF-8 of three bytes gives Hanja too.
+_FROM_TWO = "".join(ch for a in range(0xC2, 0xE0) for b in range(0x80, 0xC0) if "가" <= (ch := bytes([a, b]).decode("cp949", "replace")) <= "힣")
+#: Stretches of it that may be such a reading: all the Hangul of a place, or what follows a Latin letter.
+_AS_HANGUL = re.compile(f"(?<![가-힣])[{_FROM_TWO}]+(?![가-힣])|(?<=[A-Za-zÀ-ſ])[{_FROM_TWO}]+")
 _LOST = re.compile("�")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: What the right reading may consist of: printable Latin, punctuation, symbols and the scripts of the corpus.
@@ -171,6 +175,8 @@ def repaired(p: Pairs, text: str) -> tuple[str, int, int]:
         return text, 0, 0
     c = codes_of(text)
     odd = (c >= 0x80) & ~((c >= 0xAC00) & (c <= 0xD7A3))
+    for m in _AS_HANGUL.finditer(text):
+        odd[m.start() : m.end()] = True
     if not odd.any():
         return text, 0, 0
     score = np.concatenate([BITS - p.information(c), [0.0]]) if len(c) > 1 else np.zeros(1)
@@ -210,7 +216,10 @@ def _parts(text: str, s: int, e: int):
     kinds = [(m.start() + s, m.end() + s) for m in re.finditer("[가-힣]+|[‘-”]+|[^가-힣‘-”]+", run)]
     out = [(s, e)] if len(kinds) == 1 else kinds
     wide = [(m.start() + s, m.end() + s) for m in re.finditer("[^가-힣]+", run)]
-    return wide if any(readings(text[a:b]) for a, b in wide) else out
+    hangul = [m.span() for m in _AS_HANGUL.finditer(text, s, e)]
+    if any(readings(text[a:b]) for a, b in wide):
+        return sorted(wide + hangul)
+    return sorted(hangul + [x for x in out if not any(x[0] <= a < x[1] for a, _ in hangul)]) if hangul else out
 
 
 def _repair(p: Pairs, with_text: bool):

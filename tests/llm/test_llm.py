@@ -386,6 +386,20 @@ def test_round_trips(pairs, right, wrong):
     assert tried > 10 and ok >= 0.8 * tried
 
 
+def test_hangul_from_two_bytes(pairs):
+    p, texts, _ = pairs
+    for t in texts[150:170]:
+        w = t.split()
+        w[5:9] = ["größer", "für", "naïve", "à"]
+        bad = list(w)
+        bad[5:9] = [x.encode().decode("cp949") for x in w[5:9]]
+        assert all("가" <= c <= "힣" for x in bad[5:9] for c in x if not c.isascii())
+        fixed, good, lost = p10_encoding.repaired(p, " ".join(bad))
+        assert fixed == " ".join(w) and good and not lost  # among correct umlauts, with no other sign
+    ko = "담당 체 위원회는 철 커 하기로 IT커 뮤 이용약관을"
+    assert p10_encoding.repaired(p, ko) == (ko, 0, 0)
+
+
 def test_correct_texts_stay(pairs):
     p, texts, _ = pairs
     for t in texts:
