@@ -13,6 +13,12 @@ from orrery.session import table
 TERMS = ["인공지능", "ai", "예산은", "공공행정"]
 KEYWORDS = [("privacy", "privacy"), ("privacy", "personal data"), ("safety", "safety rules"), ("safety", "inspection"), ("funding", "funding"), ("workforce", "workforce")]
 
+#: The attributes' keywords in the other languages of the corpus too.
+CORPUS_KEYWORDS = KEYWORDS + [
+    ("privacy", "개인정보"), ("privacy", "données personnelles"), ("privacy", "personenbezogene daten"), ("safety", "안전성"), ("safety", "점검"), ("safety", "sécurité"), ("safety", "sicherheit"),
+    ("funding", "예산"), ("funding", "재정지원"), ("funding", "budget"), ("funding", "financement"), ("workforce", "전문인력"), ("workforce", "노동조합"), ("workforce", "emploi"), ("workforce", "fachkräfte"),
+]
+
 
 def h1_char_chunks(spark, d):
     return H.char_chunks(table(spark, d, "documents").where("doc_id is not null"), "text", ["doc_id"]).select("doc_id", "chunk_idx", F.md5("text").alias("digest"))
@@ -125,6 +131,21 @@ def m4_attributes(spark, d):
     return M.best_attribute(M.keyword_scores(m3_tfidf(spark, d), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
 
 
+def m3_corpus_tfidf(spark, d):
+    """Of all documents, whatever their language, in words of two letters or more of any script."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,})")), lambda x: F.lower(x)).alias("words"))
+    return M.tfidf(docs, "doc_id", M.grams(F.col("words"), 2), min_df=2, max_df=0.95, max_features=10_000)
+
+
+def m3_corpus_weights(spark, d):
+    return m3_corpus_tfidf(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+
+
+def m4_corpus_attributes(spark, d):
+    k = spark.createDataFrame(CORPUS_KEYWORDS, "attr string, keyword string")
+    return M.best_attribute(M.keyword_scores(m3_corpus_tfidf(spark, d), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
+
+
 def m5_lda(spark, d):
     docs = table(spark, d, "documents").where("lower(trim(lang)) = 'en' and text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})")), lambda x: F.lower(x)).alias("words"))
     return M.lda(docs.repartition(8, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "words", topics=5, iterations=5)[0].select("doc_id", "topic")
@@ -167,7 +188,7 @@ def d8_ingest_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r3_ascii_tokens, r4_sub_corpora, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
-    m3_weights, m4_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
+    m3_weights, m4_attributes, m3_corpus_weights, m4_corpus_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
 )}
 
 _WIN = """w AS (SELECT {keys}, i, body AS whole, CASE WHEN length(body) <= 1500 THEN body ELSE substr(body, i * 600 + 1, 800) END AS text
@@ -184,6 +205,7 @@ g AS (SELECT doc_id, unnest(w) AS term FROM docs UNION ALL SELECT doc_id, w[i] |
 t AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM docs),
 v AS (SELECT term, ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM t, nn GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 500),
 r AS (SELECT doc_id, term, tf * idf AS raw FROM t JOIN v USING (term)), weights AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
+_CORPUS_TFIDF = _TFIDF.replace("[A-Za-z]{3,}", "\\p{L}{2,}").replace("lower(trim(lang)) = 'en' AND ", "").replace("LIMIT 500", "LIMIT 10000")
 
 SQL = {
     "h1_char_chunks": "WITH src AS (SELECT doc_id, text AS body FROM documents WHERE doc_id IS NOT NULL), " + _WIN.format(keys="doc_id", part="doc_id") + " SELECT doc_id, chunk_idx, md5(text) AS digest FROM c",
@@ -202,6 +224,8 @@ SQL = {
     "r13_stats": "SELECT source, count(*) AS n FROM chunks WHERE embed_config_ver = 'e1-64' GROUP BY 1",
     "m3_weights": f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights",
     "m4_attributes": f"WITH {_TFIDF}, k(attr, keyword) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS) + "), f AS (SELECT attr, keyword AS term, 2.0 AS factor FROM k WHERE keyword IN (SELECT term FROM weights) UNION ALL SELECT attr, unnest(string_split(keyword, ' ')), 0.5 FROM k WHERE keyword NOT IN (SELECT term FROM weights) AND contains(keyword, ' ')), s AS (SELECT doc_id, attr, sum(weight * factor) AS score FROM weights JOIN f USING (term) GROUP BY 1, 2) SELECT doc_id, attr, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attr DESC) = 1",
+    "m3_corpus_weights": f"WITH {_CORPUS_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights",
+    "m4_corpus_attributes": f"WITH {_CORPUS_TFIDF}, k(attr, keyword) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CORPUS_KEYWORDS) + "), f AS (SELECT attr, keyword AS term, 2.0 AS factor FROM k WHERE keyword IN (SELECT term FROM weights) UNION ALL SELECT attr, unnest(string_split(keyword, ' ')), 0.5 FROM k WHERE keyword NOT IN (SELECT term FROM weights) AND contains(keyword, ' ')), s AS (SELECT doc_id, attr, sum(weight * factor) AS score FROM weights JOIN f USING (term) GROUP BY 1, 2) SELECT doc_id, attr, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attr DESC) = 1",
     "g23_centroids": f"WITH {_CENT} SELECT label, i::INT AS i, round(m, 9) AS x FROM cells",
     "m10_nearest": f"WITH {_CENT}, e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), dd AS (SELECT e.label, vec_id, sqrt(sum((v - m) * (v - m))) AS distance FROM e JOIN cells USING (label, i) GROUP BY 1, 2) SELECT label, vec_id, round(distance, 8) AS distance FROM dd QUALIFY row_number() OVER (PARTITION BY label ORDER BY dd.distance, vec_id) <= 5",
     "j12_centroid_pairs": f"WITH {_CENT} SELECT x.label AS a, y.label AS b, round(sum(x.m * y.m) / (sqrt(sum(x.m * x.m)) * sqrt(sum(y.m * y.m))), 8) AS similarity FROM cells x JOIN cells y ON x.i = y.i AND x.label < y.label GROUP BY 1, 2",

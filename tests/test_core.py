@@ -152,6 +152,31 @@ def test_topics():
     assert topics.greedy_pairs([(1, "x", 0.9), (1, "y", 0.95), (2, "y", 0.99)]) == [(2, "y", 0.99), (1, "x", 0.9)]
 
 
+def test_weights_of_all_languages(spark, sf):
+    import unicodedata
+    from collections import Counter
+
+    from orrery.plans import corpus
+    from orrery.session import table
+
+    docs, tf = table(spark, sf, "documents").where("text is not null").collect(), {}
+    for r in docs:
+        w = [x.lower() for x in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in r.text).split() if len(x) > 1]
+        tf[r.doc_id] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df, total = Counter(t for c in tf.values() for t in c), sum(tf.values(), Counter())
+    kept = sorted((t for t in df if 2 <= df[t] <= 0.95 * len(docs)), key=lambda t: (-total[t], t))[:10_000]
+    idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t in kept}
+    want = {(d, t): n * idf[t] for d, c in tf.items() for t, n in c.items() if t in idf}
+    square = Counter()
+    for (d, _), x in want.items():
+        square[d] += x * x
+    got = {(r.doc_id, r.term): r.weight for r in corpus.m3_corpus_weights(spark, sf).collect()}
+    assert got == {k: pytest.approx(x / math.sqrt(square[k[0]]), abs=1e-8) for k, x in want.items()}
+    lang = {r.doc_id: (r.lang or "").strip().lower() for r in docs}
+    assert {"ko", "en", "fr"} <= {lang[d] for d, _ in got} and len(idf) > 500
+    assert {"ko", "en"} <= {lang[r.doc_id] for r in corpus.m4_corpus_attributes(spark, sf).collect()}
+
+
 def test_curation(spark):
     t = spark.createDataFrame([("a", 1, 5, "x"), ("a", -1, 9, "o"), ("a", 2, 3, "y")], "attr string, topic_id int, count int, label string")
     drops = spark.createDataFrame([("a", 1), ("a", -1), ("z", 9)], "attr string, topic_id int")
