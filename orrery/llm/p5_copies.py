@@ -14,13 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from orrery.session import broadcast_checked
+from orrery.session import broadcast_checked, checkpointed
 
 _NON = re.compile(r"[\W_]+")
 _FIELD = re.compile(r"^\W*[^\W\d_]{1,10}\s*[:：]")
-#: From so many `label: value` lines on, a content counts as made of fields.
-MIN_FIELDS = 3
+#: Fewer `label: value` lines than this have one order only.
+MIN_FIELDS = 2
 #: Groups with more members than this are joined under salts.
 HOT = 100_000
 SALTS = 32
@@ -85,12 +86,30 @@ def groups(articles: DataFrame) -> DataFrame:
     classes = cheap.groupBy("provider", "n", "hist").agg(F.count("*").alias("members")).where("members > 1")
     rest = salted_join(cheap, classes, ["provider", "n", "hist"]).select("provider", "news_id").distinct()
     keyed = base.join(rest, ["provider", "news_id"], "left_semi").mapInPandas(_keyed, "provider string, news_id string, k1 long, k2 long").distinct().persist()
-    one = keyed.groupBy("provider", "k1").agg(F.min("k2").alias("g"), F.count("*").alias("members"))
+    one = components(keyed, keyed.groupBy("provider", "k1").agg(F.min("k2").alias("g"), F.max("k2").alias("top"), F.count("*").alias("members")).persist())
     split = salted_join(keyed, one, ["provider", "k1"]).select("provider", "news_id", "g").persist()
     kept = split.groupBy("provider", "g").agg(F.min("news_id").alias("keep"), F.max("news_id").alias("last"), F.count("*").alias("members")).where("keep < last").drop("last")
     return salted_join(split, kept, ["provider", "g"]).select("provider", "news_id", "keep").distinct()
 
 
+def components(keyed: DataFrame, one: DataFrame) -> DataFrame:
+    """(provider, k1, g, members) of every k1, where g is the least k2 that can be reached over shared keys of either kind.
+
+    Only the k1 with several k2 link anything; over these keys, never over rows, minima are exchanged until none changes.
+    """
+    several = one.where("g < top").select("provider", "k1")
+    links = checkpointed(keyed.select("provider", "k1", "k2").distinct().join(several, ["provider", "k1"]).withColumn("g", F.col("k2")))
+    while True:
+        for k in ("k1", "k2"):
+            links = links.withColumn("g" if k == "k2" else "h", F.min("g" if k == "k1" else "h").over(Window.partitionBy("provider", k)))
+        # After the exchange over k2, all is settled if no k1 holds two values.
+        links = checkpointed(links.drop("h"))
+        if links.groupBy("provider", "k1").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").limit(1).count() == 0:
+            break
+    names = links.select("provider", F.col("k2").alias("g"), F.col("g").alias("least")).distinct()
+    return one.join(names, ["provider", "g"], "left").select("provider", "k1", F.coalesce("least", "g").alias("g"), "members")
+
+
 def salted_join(rows: DataFrame, one: DataFrame, on: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:
     """Join rows to a table with one row per key and the key's `members`. Keys with more than `hot` members are spread over
     salts, taken from the rows themselves so that a task that runs again gives the same, so a key that holds a third of all rows fills many tasks; the others are joined as they are. There are at most

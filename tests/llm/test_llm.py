@@ -165,6 +165,20 @@ def test_increments_equal_the_whole(spark):
     assert out["n3"] == "글 갃" and len(out) == 11
 
 
+def test_copies_over_chains_of_layouts(spark):
+    rows, want, links = [], set(), {-1: 0, 1: 0}
+    for k in range(12):
+        a, b, c, d = (f"{w}: {v}{k}" for w, v in zip("갑을병정", "가나다라"))
+        # run together / in other lines / in other orders: each agrees with its neighbours only
+        chain = [f"{a}\n{b}\n{c}\n{d}", f"{a} {b} {c} {d}", f"{a} {b}\n{c}\n{d}", f"{d}\n{a} {b}\n{c}", f"{d} {a} {b} {c}", f"{d}\n{a}\n{b} {c}", f"{b} {c}\n{a}\n{d}", f"{b}\n{a}\n{d}\n{c}"]
+        rows += [(f"{k:02}{i}", "p", x) for i, x in enumerate(chain)]
+        want |= {(f"{k:02}0", f"{k:02}{i}") for i in range(1, len(chain))}
+        links[1 if p5_copies.keys(chain[0])[1] < p5_copies.keys(chain[1])[1] else -1] += 1
+    rows += [("x1", "p", "가: 나\n다: 라"), ("x2", "p", "다: 라\n가: 나"), ("y1", "p", "마: 바"), ("y2", "p", "바마")]
+    assert min(links.values()) > 0  # digests in both orders
+    assert {tuple(r) for r in p5_copies.found(news(spark, rows)).collect()} == want | {("x1", "x2")}
+
+
 def test_copies(spark):
     f = "주제: 가\n장소: 나\n일시: 다"
     rows = [("1", "P", "가 나 1,2"), ("2", " p", "가나 12!"), ("3", "q", "가나12"), ("4", "p", "나가12"), ("5", "p", f), ("6", "p", "장소: 나\n일시: 다\n주제 : 가"), ("7", "p", "가 주제: 장소: 나 일시: 다"), ("8", "p", ""), ("9", "p", "!!"), ("9", "p", None), (None, "p", "가나12"), ("1", "P", "가 나 1,2"), ("5b", "p", f.replace("\n", " "))]
