@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,53 @@ def knn(index: DataFrame, key: str, vector: str, query: list[float], k: int = TO
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key))) - 1)
 
 
+def _best(batches, queries: list[tuple], k: int):
+    """The k best of each query among the rows of a task, by blocks of rows; ties to the smaller key."""
+    names, q = [a for a, _ in queries], np.array([v for _, v in queries], dtype=float)
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    kept: list[list[tuple]] = [[] for _ in names]
+    for pdf in batches:
+        rows = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["vector"]]]
+        if not len(rows):
+            continue
+        x = np.stack(rows["vector"].to_numpy()).astype(float)
+        with np.errstate(all="ignore"):
+            score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        ids = rows["key"].to_numpy()
+        for i, row in enumerate(score):
+            ok = np.flatnonzero(np.isfinite(row))
+            if len(ok) > k:  # all ties with the k-th stay until the keys decide
+                ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
+            kept[i] = sorted([*kept[i], *((-float(row[j]), ids[j]) for j in ok)])[:k]
+    yield pd.DataFrame([(n, key, -s) for n, best in zip(names, kept) for s, key in best], columns=["query", "key", "score"])
+
+
+def knn_batch(index: DataFrame, key: str, vector: str, queries: DataFrame, k: int = TOP_K, block: int = 1_000) -> DataFrame:
+    """(query, key, score, rank) of the k nearest rows of every query (query, vector), by cosine, ranks from 0, ties to the
+    smaller key. Queries are taken in blocks of `block`, each against the whole table; a task sends on k rows a query.
+    Vectors that are null, of another length, of length 0 or not finite are neither found nor asked."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ask = queries.where(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)).select("query", "vector")
+    kinds = dict(index.dtypes) | {"query": dict(ask.dtypes)["query"]}
+    schema = f"query {kinds['query']}, key {kinds[key]}, score double"
+    rows = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    out, waiting = ask.sparkSession.createDataFrame([], schema), {}
+
+    def against(qs: list[tuple]) -> DataFrame:
+        return rows.mapInPandas(lambda batches: _best(batches, qs, k), schema)
+
+    for r in ask.toLocalIterator():
+        part = waiting.setdefault(len(r["vector"]), [])
+        part.append((r["query"], [float(x) for x in r["vector"]]))
+        if len(part) == block:
+            out, waiting[len(r["vector"])] = out.unionByName(against(part)), []
+    for part in waiting.values():
+        if part:
+            out = out.unionByName(against(part))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key"))
+    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query", F.col("key").alias(key), "score", "rank")
+
+
 def ascii_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({ASCII_TOKEN})")), lambda x: F.lower(x))
 

@@ -78,6 +78,13 @@ def r1_knn(spark, d):
     return V.knn(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d)).select("vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def r1_knn_batch(spark, d):
+    """Every row whose id is divisible by 50 as a query against all rows."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return V.knn_batch(e, "vec_id", "embedding", q).select("query", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 def r3_ascii_tokens(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.explode(V.ascii_tokens(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -187,7 +194,7 @@ def d8_ingest_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r3_ascii_tokens, r4_sub_corpora, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
+    h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r1_knn_batch, r3_ascii_tokens, r4_sub_corpora, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
     m3_weights, m4_attributes, m3_corpus_weights, m4_corpus_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
 )}
 
@@ -217,6 +224,7 @@ SQL = {
     "g20_length_histogram": "SELECT CASE " + " ".join(f"WHEN length(text) <= {e} THEN '<={e}'" for e in (200, 400, 600, 800, 1000, 1500, 2000)) + " ELSE '>2000' END AS bucket, count(*) AS n, avg(length(text)) AS mean, max(length(text)) AS longest FROM chunks WHERE text IS NOT NULL GROUP BY 1",
     "g21_norms": "SELECT min(x) AS least, avg(x) AS mean, max(x) AS most FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings)",
     "r1_knn": f"WITH {_KNN} SELECT vec_id, round(score, 9) AS score, rank::INT AS rank FROM knn",
+    "r1_knn_batch": f"WITH s AS (SELECT query, vec_id, {_COS} AS score FROM (SELECT q.vec_id AS query, e.vec_id, e.embedding::DOUBLE[] AS a, q.embedding::DOUBLE[] AS b FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)), t AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) - 1)::INT AS rank FROM s) SELECT query, vec_id, round(score, 9) AS score, rank FROM t WHERE rank < 30",
     "r3_ascii_tokens": "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_/.\\-]+'))) AS token FROM documents) GROUP BY 1",
     "r4_sub_corpora": "SELECT CASE WHEN source = 'document' THEN CASE WHEN doc_source = 'minutes_committee' THEN 'doc_minutes_committee_' || ((strpos('0123456789abcdef', lower(substr(chunk_id, 1, 1))) - 1) % 4) ELSE 'doc_' || doc_source END ELSE source END AS sub_id, count(*) AS n FROM chunks GROUP BY 1",
     "r5_bm25": f"WITH {_TOK}, post AS (SELECT sub_id, id, token, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT sub_id, id, sum(tf) AS dl FROM post GROUP BY ALL), st AS (SELECT sub_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY 1), df AS (SELECT sub_id, token, count(*) AS df FROM post GROUP BY ALL), s AS (SELECT sub_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM post JOIN df USING (sub_id, token) JOIN st USING (sub_id) JOIN dl USING (sub_id, id) WHERE token IN ({', '.join(repr(t) for t in TERMS)}) GROUP BY ALL), best AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY score DESC, id) <= 30) SELECT id, sub_id, round(score, 8) AS score, (row_number() OVER (ORDER BY score DESC, id) - 1)::INT AS rank FROM best ORDER BY score DESC, id LIMIT 30",
