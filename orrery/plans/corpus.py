@@ -176,6 +176,12 @@ def g18_fingerprint(spark, d):
     return Q.portable_fingerprint(table(spark, d, "v_bill"), ["bill_id", "bill_name", "committee"])
 
 
+def g18_bill_fingerprint(spark, d):
+    """Of all columns."""
+    bills = table(spark, d, "v_bill")
+    return Q.portable_fingerprint(bills, bills.columns)
+
+
 def g18_native_fingerprint(spark, d):
     return Q.fingerprint(table(spark, d, "v_vote"))
 
@@ -195,7 +201,7 @@ def d8_ingest_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r1_knn_batch, r3_ascii_tokens, r4_sub_corpora, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
-    m3_weights, m4_attributes, m3_corpus_weights, m4_corpus_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
+    m3_weights, m4_attributes, m3_corpus_weights, m4_corpus_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_bill_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
 )}
 
 _WIN = """w AS (SELECT {keys}, i, body AS whole, CASE WHEN length(body) <= 1500 THEN body ELSE substr(body, i * 600 + 1, 800) END AS text
@@ -213,6 +219,7 @@ t AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), nn AS (SELECT c
 v AS (SELECT term, ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM t, nn GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 500),
 r AS (SELECT doc_id, term, tf * idf AS raw FROM t JOIN v USING (term)), weights AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
 _CORPUS_TFIDF = _TFIDF.replace("[A-Za-z]{3,}", "\\p{L}{2,}").replace("lower(trim(lang)) = 'en' AND ", "").replace("LIMIT 500", "LIMIT 10000")
+_V_BILL = "bill_id bill_no bill_name proposer lead_proposer lead_mona_cd co_proposers committee propose_date proc_result proc_date cmt_result cmt_date law_result law_date age fetched_at".split()
 
 SQL = {
     "h1_char_chunks": "WITH src AS (SELECT doc_id, text AS body FROM documents WHERE doc_id IS NOT NULL), " + _WIN.format(keys="doc_id", part="doc_id") + " SELECT doc_id, chunk_idx, md5(text) AS digest FROM c",
@@ -238,6 +245,7 @@ SQL = {
     "m10_nearest": f"WITH {_CENT}, e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), dd AS (SELECT e.label, vec_id, sqrt(sum((v - m) * (v - m))) AS distance FROM e JOIN cells USING (label, i) GROUP BY 1, 2) SELECT label, vec_id, round(distance, 8) AS distance FROM dd QUALIFY row_number() OVER (PARTITION BY label ORDER BY dd.distance, vec_id) <= 5",
     "j12_centroid_pairs": f"WITH {_CENT} SELECT x.label AS a, y.label AS b, round(sum(x.m * y.m) / (sqrt(sum(x.m * x.m)) * sqrt(sum(y.m * y.m))), 8) AS similarity FROM cells x JOIN cells y ON x.i = y.i AND x.label < y.label GROUP BY 1, 2",
     "g18_fingerprint": "WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', coalesce(bill_id, '~'), coalesce(bill_name, '~'), coalesce(committee, '~'))), 1, 15))::BIGINT AS h FROM v_bill) SELECT count(*) AS n, bit_xor(h) AS xor, sum(h::DECIMAL(38, 0)) AS total FROM h",
+    "g18_bill_fingerprint": "WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in _V_BILL) + ")), 1, 15))::BIGINT AS h FROM v_bill) SELECT count(*) AS n, bit_xor(h) AS xor, sum(h::DECIMAL(38, 0)) AS total FROM h",
     "d3_touched": "SELECT count(*) AS n FROM news_articles WHERE ingested_at >= TIMESTAMP '2022-01-01'",
     "d7_uncastable": "SELECT vote_date AS value, count(*) AS n FROM v_vote WHERE vote_date IS NOT NULL AND NOT regexp_matches(vote_date, '^\\d{1,9}$') GROUP BY 1",
     "d8_ingest_report": "WITH e AS (SELECT chunk_id, vector, len(vector) = 64 AS dim, len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AS fin FROM chunks) SELECT count(chunk_id) - count(DISTINCT chunk_id) AS duplicates, count(*) FILTER (vector IS NOT NULL AND NOT dim) AS wrong_dim, count(*) FILTER (dim AND NOT fin) AS not_finite, (SELECT count(*) FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks x WHERE x.chunk_id = c.chunk_id AND x.vector IS NOT NULL)) AS missing, 0 AS orphans FROM e",

@@ -210,6 +210,18 @@ def test_fingerprint_and_diff(spark, tmp_path):
     assert [x["status"] for x in e] == ["ok", "error", "exit:3", "ok"] and e[0]["changes"] == [["t", "rows_added"]] and e[3]["drift"] == [["t", "rows_removed"]]
 
 
+def test_bill_fingerprint_sees_every_column(spark, sf, tmp_path):
+    from orrery.plans import corpus
+    from orrery.session import table
+
+    bills, seen = table(spark, sf, "v_bill"), {tuple(corpus.g18_bill_fingerprint(spark, sf).first())}
+    for c, kind in bills.dtypes:
+        other = F.lit("x") if kind == "string" else F.col(c) + (F.expr("interval 1 day") if kind.startswith("timestamp") else 1)
+        bills.withColumn(c, other).write.parquet(str(tmp_path / c / "v_bill.parquet"))
+        seen.add(tuple(corpus.g18_bill_fingerprint(spark, str(tmp_path / c)).first()))
+    assert len(seen) == len(bills.columns) + 1
+
+
 def test_validators(spark):
     a = spark.createDataFrame([(21, "x"), (None, "y"), (22, "z")], "age int, k string")
     assert audit.validate({"t": a, "s": a.withColumn("age", F.lit("1"))}, ["t", "q"], ["t", "s"], ["t"]) == ["q: missing", "t: 1 null ages", "t: 2 ages", "s: age is string"]
