@@ -125,14 +125,19 @@ def min_cluster_size(n: int, rule: str = "sqrt") -> int:
     return max(5, int({"sqrt": np.sqrt(n), "log": 10 * np.log10(max(n, 1)), "cbrt": 2 * np.cbrt(n)}[rule]))
 
 
-def lda(docs: DataFrame, key: str, tokens: str, topics: int = 10, seed: int = 42, iterations: int = 20):
-    """(assignments, terms) of an online LDA on counts: the strongest topic per document and the top words per topic."""
+def lda(docs: DataFrame, key: str, tokens: str, topics: int = 10, seed: int = 42, iterations: int = 50):
+    """(assignments, terms) of an online LDA on counts: the strongest topic per document and the top words per topic. Every
+    iteration draws as many documents as there are, and all terms of two documents or more count. Documents without such
+    a term come out with a null topic."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=2, vocabSize=10_000).fit(docs)
-    model = LDA(k=topics, featuresCol="_tf", seed=seed, maxIter=iterations, optimizer="online").fit(cv.transform(docs))
-    argmax = F.udf(lambda v: int(v.argmax()), "int")
-    words = model.describeTopics(10)
-    names = F.array(*[F.lit(w) for w in cv.vocabulary])
-    return model.transform(cv.transform(docs)).select(key, argmax("topicDistribution").alias("topic")), words.select("topic", F.transform("termIndices", lambda i: F.get(names, i)).alias("words"))
+    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=2, vocabSize=2**31 - 1).fit(docs)
+    model = LDA(k=topics, featuresCol="_tf", seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs).persist())
+    argmax = F.udf(lambda v: int(v.argmax()) if v.toArray().any() else None, "int")
+    terms = cv.vocabulary
+    words = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("at", "i"))
+    used = sorted({r.i for r in words.select("i").distinct().collect()})
+    names = F.create_map(*[F.lit(x) for i in used for x in (i, terms[i])])
+    ordered = words.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("at", F.element_at(names, F.col("i")).alias("w")))).alias("w"))
+    return model.transform(cv.transform(docs)).select(key, argmax("topicDistribution").alias("topic")), ordered.select("topic", F.col("w.w").alias("words"))

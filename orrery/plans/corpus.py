@@ -154,8 +154,8 @@ def m4_corpus_attributes(spark, d):
 
 
 def m5_lda(spark, d):
-    docs = table(spark, d, "documents").where("lower(trim(lang)) = 'en' and text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})")), lambda x: F.lower(x)).alias("words"))
-    return M.lda(docs.repartition(8, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "words", topics=5, iterations=5)[0].select("doc_id", "topic")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,})")), lambda x: F.lower(x)).alias("words"))
+    return M.lda(docs.repartition(8, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "words", topics=10, iterations=50)[0].select("doc_id", "topic")
 
 
 def g23_centroids(spark, d):

@@ -177,6 +177,25 @@ def test_weights_of_all_languages(spark, sf):
     assert {"ko", "en"} <= {lang[r.doc_id] for r in corpus.m4_corpus_attributes(spark, sf).collect()}
 
 
+def test_topics_of_all_documents(spark, sf):
+    import unicodedata
+    from collections import Counter
+
+    from orrery.plans import corpus
+    from orrery.session import table
+
+    got = {r.doc_id: r.topic for r in corpus.m5_lda(spark, sf).collect()}
+    docs = table(spark, sf, "documents").where("text is not null").collect()
+    words_of = {r.doc_id: {x.lower() for x in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in r.text).split() if len(x) > 1} for r in docs}
+    df = Counter(w for ws in words_of.values() for w in ws)
+    assert set(got) == set(words_of) and all((got[d] in range(10)) == any(df[w] > 1 for w in ws) for d, ws in words_of.items())
+    two = spark.createDataFrame([(i, ["가나", "다라", "마바"] if i % 2 else ["ab", "cd", "ef"]) for i in range(60)] + [(60, ["z"])], "k int, w array<string>")
+    a, words = topics.lda(two, "k", "w", topics=2)
+    topic = {r.k: r.topic for r in a.collect()}
+    assert len({topic[i] for i in range(0, 60, 2)}) == len({topic[i] for i in range(1, 60, 2)}) == 1 and topic[0] != topic[1] and topic[60] is None
+    assert {frozenset(r.words[:3]) for r in words.collect()} == {frozenset(["가나", "다라", "마바"]), frozenset(["ab", "cd", "ef"])}
+
+
 def test_curation(spark):
     t = spark.createDataFrame([("a", 1, 5, "x"), ("a", -1, 9, "o"), ("a", 2, 3, "y")], "attr string, topic_id int, count int, label string")
     drops = spark.createDataFrame([("a", 1), ("a", -1), ("z", 9)], "attr string, topic_id int")
