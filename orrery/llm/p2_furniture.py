@@ -1,7 +1,8 @@
 """Lines repeated across one source's documents (problem 2).
 
-Per-source line counts are kept as delta tables, one per partition of arrival. A new partition adds its deltas, the
-lines whose counts cross the threshold are detected, and only documents that hold newly crossed lines are rebuilt.
+A batch count: per-source line counts by partition of arrival are taken over all rows at once, and every document that
+holds a line over the threshold is rebuilt. No query keeps the counts or folds a new partition in: `deltas` must see the
+line rows of all partitions to know where an article arrived first.
 """
 
 from __future__ import annotations
