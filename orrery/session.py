@@ -37,16 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a
-    temporary one is made.
+    Only a local session may leave it unset, as tests do; it gets a temporary folder then.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is not None:
+        named = sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        named = tempfile.mkdtemp(prefix="orrery-ckpt-", dir=os.environ.get("TMPDIR"))
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-ckpt-", dir=os.environ.get("TMPDIR")))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
