@@ -1,8 +1,10 @@
 """Duplicates hidden by formatting differences (problem 5).
 
 Progressive partition refinement: records fall into classes by invariants that no typesetting and no order of fields
-changes (number of letters and digits, hash of their histogram); only classes with several members get the costlier
-keys, the digest of the letters and digits in order and the digest with the labelled fields sorted.
+changes (number of letters and digits, hash of their histogram). A bitmap of the classes with several members goes
+into the second scan, where only their rows get the costlier keys: the digest of the letters and digits in order, and
+the digest with the labelled fields sorted. A key counts inside its class only, so two records agree when length,
+histogram hash and a 64-bit digest agree. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from pyspark.sql.window import Window
 from orrery.session import broadcast_checked, checkpointed
 
 _NON = re.compile(r"[\W_]+")
-_FIELD = re.compile(r"^\W*[^\W\d_]{1,10}\s*[:：]")
+_LETTER, _COLON = re.compile(r"[^\W\d_]"), re.compile("[:：]")
 #: Fewer `label: value` lines than this have one order only.
 MIN_FIELDS = 2
 #: Groups with more members than this are joined under salts.
 HOT = 100_000
 SALTS = 32
+#: The bitmap of classes has 8 to 16 cells a class, and at most so many (16 MB); a fuller one only filters less.
+MAX_CELLS = 1 << 27
+CLASS = ["provider", "n", "hist"]
 
 
 def stripped(text: str) -> str:
@@ -46,6 +51,12 @@ def histogram(s: str) -> int:
     return int(x.sum(dtype=np.uint64).astype(np.int64))
 
 
+def is_field(line: str) -> bool:
+    """Whether the line is `label: value`: a letter stands before its first colon."""
+    m = _COLON.search(line)
+    return m is not None and _LETTER.search(line, 0, m.start()) is not None
+
+
 def keys(text: str) -> tuple[int, int] | None:
     """(digest in order, digest with sorted fields); None without letters and digits."""
     plain = stripped(text)
@@ -53,7 +64,7 @@ def keys(text: str) -> tuple[int, int] | None:
         return None
     fields, rest = [], []
     for line in text.split("\n"):
-        (fields if _FIELD.match(line) else rest).append(stripped(line))
+        (fields if is_field(line) else rest).append(stripped(line))
     if len(fields) < MIN_FIELDS:
         return digest(plain), digest(plain)
     return digest(plain), digest("\n".join(["".join(rest), *sorted(fields)]))
@@ -69,10 +80,33 @@ def _invariants(batches):
         yield pd.DataFrame({"provider": pdf["provider"], "news_id": pdf["news_id"], "n": [len(x) for x in s], "hist": [histogram(x) for x in s]})
 
 
-def _keyed(batches):
-    for pdf in batches:
-        k = [keys(t) or (0, 0) for t in pdf["content"]]
-        yield pd.DataFrame({"provider": pdf["provider"], "news_id": pdf["news_id"], "k1": np.array([a for a, _ in k], dtype="int64"), "k2": np.array([b for _, b in k], dtype="int64")})
+def bitmap(classes: DataFrame) -> np.ndarray:
+    """A bit per cell that a class falls into, by the low bits of its histogram's hash. At most MAX_CELLS bits."""
+    n = classes.count()
+    cells = min(MAX_CELLS, max(1 << 15, 1 << (8 * max(n, 1) - 1).bit_length()))
+    cell = F.col("hist").bitwiseAND(F.lit(cells - 1)) + 1
+    parts = classes.groupBy(F.call_function("bitmap_bucket_number", cell).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", cell)).alias("bits")).collect()
+    out = np.zeros(cells // 8, dtype=np.uint8)
+    for r in parts:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _keyed(bits: np.ndarray):
+    mask = len(bits) * 8 - 1
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for prov, nid, text in zip(pdf["provider"], pdf["news_id"], pdf["content"]):
+                if plain := stripped(text):
+                    h = histogram(plain)
+                    cell = h & mask
+                    if bits[cell >> 3] >> (cell & 7) & 1:
+                        out.append((prov, nid, len(plain), h, *keys(text)))
+            yield pd.DataFrame(out, columns=["provider", "news_id", "n", "hist", "k1", "k2"]).astype({"n": "int32", "hist": "int64", "k1": "int64", "k2": "int64"})
+
+    return run
 
 
 def groups(articles: DataFrame) -> DataFrame:
@@ -82,32 +116,31 @@ def groups(articles: DataFrame) -> DataFrame:
     provider, under the empty name. Rows loaded again are one member; a news_id whose contents differ stands with each.
     """
     base = articles.where(F.col("news_id").isNotNull() & F.col("content").isNotNull()).select(F.coalesce(loose(F.col("provider")), F.lit("")).alias("provider"), "news_id", "content")
-    cheap = base.mapInPandas(_invariants, "provider string, news_id string, n int, hist long").where("n > 0").distinct().persist()
-    classes = cheap.groupBy("provider", "n", "hist").agg(F.count("*").alias("members")).where("members > 1")
-    rest = salted_join(cheap, classes, ["provider", "n", "hist"]).select("provider", "news_id").distinct()
-    keyed = base.join(rest, ["provider", "news_id"], "left_semi").mapInPandas(_keyed, "provider string, news_id string, k1 long, k2 long").distinct().persist()
-    one = components(keyed, keyed.groupBy("provider", "k1").agg(F.min("k2").alias("g"), F.max("k2").alias("top"), F.count("*").alias("members")).persist())
-    split = salted_join(keyed, one, ["provider", "k1"]).select("provider", "news_id", "g").persist()
-    kept = split.groupBy("provider", "g").agg(F.min("news_id").alias("keep"), F.max("news_id").alias("last"), F.count("*").alias("members")).where("keep < last").drop("last")
-    return salted_join(split, kept, ["provider", "g"]).select("provider", "news_id", "keep").distinct()
+    cheap = base.mapInPandas(_invariants, "provider string, news_id string, n int, hist long").where("n > 0").distinct()
+    several = bitmap(cheap.groupBy(*CLASS).agg(F.count("*").alias("members")).where("members > 1").persist())
+    keyed = base.mapInPandas(_keyed(several), "provider string, news_id string, n int, hist long, k1 long, k2 long").distinct().persist()
+    one = components(keyed, keyed.groupBy(*CLASS, "k1").agg(F.min("k2").alias("g"), F.max("k2").alias("top"), F.count("*").alias("members")).persist())
+    split = salted_join(keyed, one, [*CLASS, "k1"]).select(*CLASS, "news_id", "g").persist()
+    kept = split.groupBy(*CLASS, "g").agg(F.min("news_id").alias("keep"), F.max("news_id").alias("last"), F.count("*").alias("members")).where("keep < last").drop("last")
+    return salted_join(split, kept, [*CLASS, "g"]).select("provider", "news_id", "keep").distinct()
 
 
 def components(keyed: DataFrame, one: DataFrame) -> DataFrame:
-    """(provider, k1, g, members) of every k1, where g is the least k2 that can be reached over shared keys of either kind.
+    """(class, k1, g, members) of every k1, where g is the least k2 that can be reached over shared keys of either kind.
 
     Only the k1 with several k2 link anything; over these keys, never over rows, minima are exchanged until none changes.
     """
-    several = one.where("g < top").select("provider", "k1")
-    links = checkpointed(keyed.select("provider", "k1", "k2").distinct().join(several, ["provider", "k1"]).withColumn("g", F.col("k2")))
+    several = one.where("g < top").select(*CLASS, "k1")
+    links = checkpointed(keyed.select(*CLASS, "k1", "k2").distinct().join(several, [*CLASS, "k1"]).withColumn("g", F.col("k2")))
     while True:
         for k in ("k1", "k2"):
-            links = links.withColumn("g" if k == "k2" else "h", F.min("g" if k == "k1" else "h").over(Window.partitionBy("provider", k)))
+            links = links.withColumn("g" if k == "k2" else "h", F.min("g" if k == "k1" else "h").over(Window.partitionBy(*CLASS, k)))
         # After the exchange over k2, all is settled if no k1 holds two values.
         links = checkpointed(links.drop("h"))
-        if links.groupBy("provider", "k1").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").limit(1).count() == 0:
+        if links.groupBy(*CLASS, "k1").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").limit(1).count() == 0:
             break
-    names = links.select("provider", F.col("k2").alias("g"), F.col("g").alias("least")).distinct()
-    return one.join(names, ["provider", "g"], "left").select("provider", "k1", F.coalesce("least", "g").alias("g"), "members")
+    names = links.select(*CLASS, F.col("k2").alias("g"), F.col("g").alias("least")).distinct()
+    return one.join(names, [*CLASS, "g"], "left").select(*CLASS, "k1", F.coalesce("least", "g").alias("g"), "members")
 
 
 def salted_join(rows: DataFrame, one: DataFrame, on: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:

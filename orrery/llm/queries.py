@@ -118,15 +118,24 @@ UNION SELECT 'chunks', chunk_id FROM chunks WHERE length(text) > 1500 AND chunk_
 """
 
 
-_STRIP = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
-_FIELD = r"regexp_matches(x, '^[^\p{L}\p{N}_]*[\p{L}\p{Nl}\p{No}]{1,10}[\s\p{Z}]*[:：]')"
-_P5_FOUND = f"""
-WITH b AS (SELECT DISTINCT coalesce(lower(trim(provider, E' \\t\\n\\r')), '') AS p, news_id, content FROM news_articles WHERE news_id IS NOT NULL AND content IS NOT NULL),
-s AS (SELECT p, news_id, {_STRIP.format('content')} AS k1, list_filter(string_split(content, chr(10)), lambda x: {_FIELD}) AS fl, list_filter(string_split(content, chr(10)), lambda x: NOT {_FIELD}) AS rl FROM b),
-k AS (SELECT p, news_id, k1, CASE WHEN len(fl) < 3 THEN k1 ELSE {_STRIP.format("array_to_string(rl, '')")} || chr(10) || array_to_string(list_sort(list_transform(fl, lambda x: {_STRIP.format('x')})), chr(10)) END AS k2 FROM s WHERE k1 <> ''),
-g AS (SELECT *, min(k2) OVER (PARTITION BY p, k1) AS g FROM k),
-h AS (SELECT *, min(news_id) OVER (PARTITION BY p, g) AS keep FROM g)
-SELECT DISTINCT keep AS news_id_keep, news_id AS news_id_copy FROM h WHERE news_id <> keep
+# Groups as reachability over shared keys, written on whole strings: the first key is the letters and digits in order,
+# the second the sorted list of the labelled lines behind the others.
+_P5_FOUND = r"""
+WITH RECURSIVE rows_ AS (
+  SELECT DISTINCT coalesce(lower(trim(provider, E' \t\n\r')), '') AS p, news_id, content
+  FROM news_articles WHERE news_id IS NOT NULL AND content IS NOT NULL),
+lines_ AS (SELECT p, news_id, content, generate_subscripts(string_split(content, chr(10)), 1) AS no, unnest(string_split(content, chr(10))) AS line FROM rows_),
+cut AS (SELECT *, replace(line, '：', ':') AS y FROM lines_),
+told AS (SELECT p, news_id, content, no, regexp_replace(lower(line), '[^\p{L}\p{N}]', '', 'g') AS plain,
+  strpos(y, ':') > 0 AND regexp_matches(left(y, strpos(y, ':') - 1), '\p{L}') AS labelled FROM cut),
+doc AS (SELECT p, news_id, content, string_agg(plain, '' ORDER BY no) AS k1, count(*) FILTER (labelled) AS fields,
+  coalesce(string_agg(plain, '' ORDER BY no) FILTER (NOT labelled), '') || chr(10)
+    || coalesce(string_agg(plain, chr(10) ORDER BY plain) FILTER (labelled), '') AS k2 FROM told GROUP BY ALL),
+keyed AS (SELECT p, news_id, k1, CASE WHEN fields < 2 THEN k1 ELSE k2 END AS k2 FROM doc WHERE k1 <> ''),
+link AS (SELECT a.p, a.news_id AS x, b.news_id AS y FROM keyed a JOIN keyed b ON a.p = b.p AND a.k1 = b.k1
+  UNION SELECT a.p, a.news_id, b.news_id FROM keyed a JOIN keyed b ON a.p = b.p AND a.k2 = b.k2),
+reach AS (SELECT p, x, y FROM link UNION SELECT r.p, r.x, l.y FROM reach r JOIN link l ON r.p = l.p AND r.y = l.x)
+SELECT DISTINCT min(y) AS news_id_keep, x AS news_id_copy FROM reach GROUP BY p, x HAVING min(y) <> x
 """
 
 

@@ -184,6 +184,8 @@ def test_copies(spark):
     rows = [("1", "P", "가 나 1,2"), ("2", " p", "가나 12!"), ("3", "q", "가나12"), ("4", "p", "나가12"), ("5", "p", f), ("6", "p", "장소: 나\n일시: 다\n주제 : 가"), ("7", "p", "가 주제: 장소: 나 일시: 다"), ("8", "p", ""), ("9", "p", "!!"), ("9", "p", None), (None, "p", "가나12"), ("1", "P", "가 나 1,2"), ("5b", "p", f.replace("\n", " "))]
     got = sorted(tuple(r) for r in p5_copies.found(news(spark, rows)).collect())
     assert got == [("1", "2"), ("5", "5b"), ("5", "6")]
+    swapped = [("a", "p", "Registration deadline: 1\nIssue date: 2"), ("b", "p", "Issue date: 2\nRegistration deadline: 1"), ("c", "p", "Issue date 1\nRegistration deadline: 2"), ("d", "p", "12:30\n가: 나"), ("e", "p", "가: 나\n12:30")]
+    assert {tuple(r) for r in p5_copies.found(news(spark, swapped)).collect()} == {("a", "b")}
     c = {r.news_id: r.copies for r in p5_copies.collapsed(news(spark, rows)).collect()}
     assert c["1"] == 2 and c["5"] == 3 and c["4"] == 1 and c["8"] == 1
 
