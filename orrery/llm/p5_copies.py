@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.llm.bits import bitmap
 from orrery.session import broadcast_checked, checkpointed
 
 _NON = re.compile(r"[\W_]+")
@@ -27,8 +28,6 @@ MIN_FIELDS = 2
 #: Groups with more members than this are joined under salts.
 HOT = 100_000
 SALTS = 32
-#: The bitmap of classes has 8 to 16 cells a class, and at most so many (16 MB); a fuller one only filters less.
-MAX_CELLS = 1 << 27
 CLASS = ["provider", "n", "hist"]
 
 
@@ -80,18 +79,6 @@ def _invariants(batches):
         yield pd.DataFrame({"provider": pdf["provider"], "news_id": pdf["news_id"], "n": [len(x) for x in s], "hist": [histogram(x) for x in s]})
 
 
-def bitmap(classes: DataFrame) -> np.ndarray:
-    """A bit per cell that a class falls into, by the low bits of its histogram's hash. At most MAX_CELLS bits."""
-    n = classes.count()
-    cells = min(MAX_CELLS, max(1 << 15, 1 << (8 * max(n, 1) - 1).bit_length()))
-    cell = F.col("hist").bitwiseAND(F.lit(cells - 1)) + 1
-    parts = classes.groupBy(F.call_function("bitmap_bucket_number", cell).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", cell)).alias("bits")).collect()
-    out = np.zeros(cells // 8, dtype=np.uint8)
-    for r in parts:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
 def _keyed(bits: np.ndarray):
     mask = len(bits) * 8 - 1
 
@@ -117,7 +104,7 @@ def groups(articles: DataFrame) -> DataFrame:
     """
     base = articles.where(F.col("news_id").isNotNull() & F.col("content").isNotNull()).select(F.coalesce(loose(F.col("provider")), F.lit("")).alias("provider"), "news_id", "content")
     cheap = base.mapInPandas(_invariants, "provider string, news_id string, n int, hist long").where("n > 0").distinct()
-    several = bitmap(cheap.groupBy(*CLASS).agg(F.count("*").alias("members")).where("members > 1").persist())
+    several = bitmap(cheap.groupBy(*CLASS).agg(F.count("*").alias("members")).where("members > 1").persist(), F.col("hist"))
     keyed = base.mapInPandas(_keyed(several), "provider string, news_id string, n int, hist long, k1 long, k2 long").distinct().persist()
     one = components(keyed, keyed.groupBy(*CLASS, "k1").agg(F.min("k2").alias("g"), F.max("k2").alias("top"), F.count("*").alias("members")).persist())
     split = salted_join(keyed, one, [*CLASS, "k1"]).select(*CLASS, "news_id", "g").persist()

@@ -1,8 +1,10 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Spaced seeds: fixed masks over the stream of letters and digits ignore some positions, the seeds of the test items are
-joined with those of every document, and around diagonals with several hits the passage is verified, tolerating
-isolated changed words.
+Spaced seeds: fixed masks over the words ignore some of them, so a passage is met although words in it were replaced by
+longer or shorter ones; two masks over blocks of letters meet passages whose spacing is gone. Test seeds and training
+seeds are two tables joined by their hash, however many test items there are; a bitmap of the test seeds keeps most
+training seeds from leaving their task. Around diagonals with hits that spread, the passage is verified on the
+letters, tolerating isolated changed words.
 """
 
 from __future__ import annotations
@@ -15,24 +17,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Masks over consecutive letters and digits, in groups of 8: 1 is compared, 0 ignored. Each fits into an unchanged
-#: stretch of 24.
-MASKS = ("1111111111111111", "111111110000000011111111")
+from orrery.llm.bits import bitmap, has
+from orrery.llm.p5_copies import salted_join
+from orrery.session import broadcast_checked
+
+#: Masks over consecutive words: 1 is compared, 0 ignored.
+WORD_MASKS = ("11101101", "10110111", "110110101")
+#: Masks over consecutive blocks of BLOCK letters and digits.
+LETTER_MASKS = ("11111", "1101011")
+BLOCK = 4
 MIN_LETTERS = 120
+#: Changed words are isolated as long as so much of the passage's letters is unchanged.
 MIN_MATCHED = 0.8
-MIN_HITS = 24
 MIN_RUN = 6
-#: Places of the first and the last hit in the item: a passage of 120 letters in runs that hold seeds spreads farther.
-MIN_SPREAD = 48
+#: A changed word has at most so many letters.
+MAX_WORD = 40
+#: Places of the first and the last hit in the item, in letters: a passage of 120 letters has seeds this far apart.
+MIN_SPREAD = 40
 #: Diagonals up to so far apart count as one alignment; each changed word moves the diagonal by a few letters.
 BAND = 32
-#: Test seeds in one block. The documents are read once per block; one block holds about 2,000 items of usual length.
-BLOCK_SEEDS = 2_000_000
-#: Cells of the filter in front of the seed table.
-FILTER = 1 << 22
+#: Up to so many test seeds are broadcast; beyond that both sides are shuffled.
+BROADCAST_SEEDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
-_FACTOR = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)}
+_BASE = 0x9E3779B97F4A7C15
+_U = np.uint64
 
 
 def words_of(text: str) -> list[str]:
@@ -49,93 +58,91 @@ def numbers(words: list[str]) -> np.ndarray:
     return np.repeat(np.arange(len(words)), [len(w) for w in words])
 
 
-def seeds(codes: np.ndarray) -> list[np.ndarray]:
-    """For each mask the hash at every start position: windows of 8 letters are hashed by doubling and then put together."""
-    h = codes.astype(np.uint64)
-    for k in (1, 2, 4):
-        h = (h[:-k] * _FACTOR[k] + h[k:]) if len(h) > k else h[:0]
-    out = []
-    for mask in MASKS:
-        n = max(0, len(codes) - len(mask) + 1)
-        x = np.zeros(n, dtype=np.uint64)
-        for at in range(0, len(mask), 8):
-            if mask[at : at + 8] == "1" * 8:
-                x = x * _FACTOR[8] + h[at : at + n]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        out.append(x ^ (x >> np.uint64(32)))
-    return out
-
-
-class Index:
-    """Sorted seeds of a block of test items, with the item and place of each."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        split = [words_of(t) for _, t in items]
-        self.texts = [(letters(w), numbers(w)) for w in split]
-        all_seeds = [seeds(codes) for codes, _ in self.texts]
-        per_mask = []
-        for m in range(len(MASKS)):
-            hs, its, ps = [], [], []
-            for k, own in enumerate(all_seeds):
-                h = own[m]
-                hs.append(h)
-                its.append(np.full(len(h), k, dtype=np.int32))
-                ps.append(np.arange(len(h), dtype=np.int32))
-            h, it, p = (np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in (hs, its, ps))
-            o = np.argsort(h, kind="stable")
-            some = np.zeros(FILTER, dtype=bool)
-            some[h & np.uint64(FILTER - 1)] = True
-            per_mask.append((h[o], it[o], p[o], some))
-        self.masks = per_mask
-
-    def hits(self, codes: np.ndarray) -> np.ndarray:
-        """Distinct rows (item, item place, document place)."""
-        out = []
-        for s, (h, it, p, some) in zip(seeds(codes), self.masks):
-            if not len(s) or not len(h):
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as the longest text so far asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def reach(self, n: int):
+        if n >= len(self.up):
+            size = 1 << (n + 1).bit_length()
+            grow = lambda x: np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, x, dtype=np.uint64)]))
+            self.up, self.down = grow(_BASE), grow(pow(_BASE, -1, 1 << 64))
+        return self
+
+
+_powers = _Powers()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+def _masked(h: np.ndarray, mask: str, salt: int, stride: int = 1) -> np.ndarray:
+    """The hash of the mask laid at every start; neighbours under the mask lie `stride` apart in h."""
+    n = max(0, len(h) - (len(mask) - 1) * stride)
+    x = np.full(n, salt, dtype=np.uint64)
+    for k, bit in enumerate(mask):
+        if bit == "1":
+            x = x * _U(_BASE) + h[k * stride : k * stride + n]
+    return _mixed(x)
+
+
+def seeds(words: list[str], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes as int64, places): a seed for every mask and start, its place being the letter it begins at. Blocks of
+    letters begin at every letter if `every`, as for test items, else at every BLOCK-th."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    c = letters(words).astype(np.uint64) + _U(1)
+    p = _powers.reach(len(c))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(c * p.up[: len(c)], dtype=np.uint64)])
+    of = lambda s, e: _mixed((total[e] - total[s]) * p.down[s] + (e - s).astype(np.uint64))
+    out, at = [], []
+    words_h = of(begins, ends)
+    for k, mask in enumerate(WORD_MASKS):
+        out.append(_masked(words_h, mask, k + 1))
+        at.append(begins[: len(out[-1])])
+    s = np.arange(0, len(c) - BLOCK + 1, 1 if every else BLOCK, dtype=np.int64)
+    blocks = of(s, s + BLOCK)
+    for k, mask in enumerate(LETTER_MASKS):
+        out.append(_masked(blocks, mask, 101 + k, BLOCK if every else 1))
+        at.append(s[: len(out[-1])])
+    return np.concatenate(out).view(np.int64), np.concatenate(at)
+
+
+def _item_seeds(batches):
+    for pdf in batches:
+        keys, hs, places = [], [], []
+        for k, text in zip(pdf["item"], pdf["text"]):
+            words = words_of(text)
+            if sum(map(len, words)) < MIN_LETTERS:
                 continue
-            at = np.flatnonzero(some[s & np.uint64(FILTER - 1)])
-            lo = np.searchsorted(h, s[at], side="left")
-            hit = h[np.minimum(lo, len(h) - 1)] == s[at]
-            at, lo = at[hit], lo[hit]
-            if not len(at):
-                continue
-            n = np.searchsorted(h, s[at], side="right") - lo
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out.append(np.stack([it[k].astype(np.int64), p[k].astype(np.int64), np.repeat(at, n)], axis=1))
-        return np.concatenate(out) if out else np.empty((0, 3), dtype=np.int64)
-
-    def leaked(self, text: str) -> list[int]:
-        """The ids of the items of which the text holds a passage."""
-        split = words_of(text)
-        codes, words = letters(split), None
-        h = self.hits(codes)
-        if len(h) < MIN_HITS:
-            return []
-        diag = h[:, 2] - h[:, 1]
-        band = (diag - diag.min()) // BAND
-        width = int(band.max()) + 2
-        key = h[:, 0] * width + band
-        order = np.argsort(key, kind="stable")
-        keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
-        at, diag = h[order, 1], diag[order]
-        low, high = np.minimum.reduceat(at, first), np.maximum.reduceat(at, first)
-        # A band and the next one together, so an alignment that crosses their border is seen as a whole.
-        joined = np.append(keys[1:] == keys[:-1] + 1, False)
-        nxt = np.minimum(np.arange(len(keys)) + 1, len(keys) - 1)
-        hits = count + np.where(joined, count[nxt], 0)
-        low, high = np.where(joined, np.minimum(low, low[nxt]), low), np.where(joined, np.maximum(high, high[nxt]), high)
-        out = set()
-        for k in np.flatnonzero((hits >= MIN_HITS) & (high - low >= MIN_SPREAD)):
-            item = int(keys[k] // width)
-            if item not in out:
-                d = diag[first[k] : first[k] + hits[k]]
-                words = numbers(split) if words is None else words
-                if passage(*self.texts[item], codes, words, int(d.min()), int(d.max()), int(low[k]), int(high[k])):
-                    out.add(item)
-        return [self.ids[k] for k in out]
+            h, at = seeds(words, True)
+            keys.append(np.full(len(h), k, dtype=np.int64))
+            hs.append(h)
+            places.append(at)
+        if keys:
+            yield pd.DataFrame({"h": np.concatenate(hs), "item": np.concatenate(keys), "at": np.concatenate(places)})
+
+
+def _doc_seeds(bits: np.ndarray):
+    def run(batches):
+        for pdf in batches:
+            docs, hs, places = [], [], []
+            for d, text in zip(pdf["doc_id"], pdf["text"]):
+                h, at = seeds(words_of(text), False)
+                some = np.flatnonzero(has(bits, h))
+                if len(some):
+                    docs.append(np.full(len(some), d, dtype=np.int64))
+                    hs.append(h[some])
+                    places.append(at[some])
+            if docs:
+                yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(docs), "place": np.concatenate(places)})
+
+    return run
 
 
 def passage(a, aw, b, bw, d0: int, d1: int, lo: int, hi: int) -> bool:
@@ -160,7 +167,7 @@ def passage(a, aw, b, bw, d0: int, d1: int, lo: int, hi: int) -> bool:
         for j in range(i - 1, -1, -1):
             s2, e2, d2 = runs[j]
             x, y = max(s, e2, e2 + d2 - d), e  # the later run gives way where both claim letters
-            if y - x < MIN_RUN or x - e2 > 40:
+            if y - x < MIN_RUN or x - e2 > MAX_WORD:
                 continue
             if not (_one_word(aw, e2, x) and _one_word(bw, e2 + d2, x + d)):
                 continue
@@ -177,39 +184,59 @@ def _one_word(w, s: int, e: int) -> bool:
     return e <= s or w[e - 1] - w[s] <= 1
 
 
-def _scan(index: Index):
-    def run(batches):
-        for pdf in batches:
-            out = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in index.leaked(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
-
-    return run
-
-
-def blocks(items: DataFrame, size: int):
-    """The test items in blocks of bounded size, streamed to the driver one partition at a time; items too short for a
-    passage can't leak."""
-    block, n = [], 0
-    for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
-        k = sum(map(len, words_of(r["text"])))
-        if k < MIN_LETTERS:
-            continue
-        block.append((int(r["item_id"]), r["text"]))
-        n += k * len(MASKS)
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def leaks(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def _verify(batches):
+    last, split, codes, nums = None, None, None, None
+    known: dict[int, tuple] = {}
+    for pdf in batches:
+        out = []
+        for d, text, item, key, item_text, spans in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["item"], pdf["item_text"], pdf["spans"]):
+            if text is not last:
+                if text != last:
+                    split = words_of(text)
+                    codes, nums = letters(split), numbers(split)
+                last = text
+            if key not in known:
+                if len(known) > 2000:
+                    known.clear()
+                w = words_of(item_text)
+                known[key] = (letters(w), numbers(w))
+            if any(passage(*known[key], codes, nums, s["d0"], s["d1"], s["lo"], s["hi"]) for s in spans):
+                out.append((d, item))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item, spans): documents and items that share seeds along one alignment, and where.
+
+    Heavy seeds are spread over salts. Hits fall into bands of diagonals, each with the next one, so an alignment that
+    drifts across a border is seen as a whole."""
+    test = items.mapInPandas(_item_seeds, "h long, item long, at int").distinct().persist()
+    bits = bitmap(test.select("h").distinct(), F.col("h"))
+    train = docs.mapInPandas(_doc_seeds(bits), "h long, doc_id long, place int")
+    # One row per seed on the test side, so a seed that many documents hold is spread over tasks, with all its places.
+    places = test.groupBy("h").agg(F.collect_list(F.struct("item", "at")).alias("where"))
+    if test.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        met = train.join(F.broadcast(places), "h")
+    else:
+        train = train.persist()
+        met = salted_join(train, places.join(train.groupBy("h").agg(F.count("*").alias("members")), "h"), ["h"])
+    hits = met.select("doc_id", "place", F.explode("where").alias("w")).select("doc_id", "w.item", "w.at", (F.col("place") - F.col("w.at")).alias("d"))
+    band = F.floor(F.col("d") / BAND)
+    spans = (
+        hits.withColumn("band", F.explode(F.array(band, band - 1)))
+        .groupBy("doc_id", "item", "band").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+        .where(F.col("hi") - F.col("lo") >= MIN_SPREAD)
+    )
+    return spans.groupBy("doc_id", "item").agg(F.collect_list(F.struct("d0", "d1", "lo", "hi")).alias("spans"))
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document that holds a passage of an item: at least 120 letters and digits in a row,
     apart from isolated changed words; typesetting doesn't matter. Null texts and ids give no rows; an empty item table
-    gives none. The item table is read in blocks of bounded size, the documents once per block."""
+    gives none. The documents are read twice however many items there are: for their seeds, and for the texts of the
+    candidates."""
     docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= MIN_LETTERS)).select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for block in blocks(items, block_seeds):
-        part = docs.mapInPandas(_scan(Index(block)), "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    return docs.select("doc_id", F.col("doc_id").alias("item_id")).limit(0) if out is None else out.distinct()
+    tests = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    pairs = candidates(docs, tests.select("item", "text")).persist()
+    rows = docs.join(broadcast_checked(pairs), "doc_id").join(broadcast_checked(tests.withColumnRenamed("text", "item_text")), "item")
+    return rows.select("doc_id", "text", "item_id", "item", "item_text", "spans").mapInPandas(_verify, "doc_id long, item_id long").distinct()
