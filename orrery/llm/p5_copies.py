@@ -112,22 +112,24 @@ def groups(articles: DataFrame) -> DataFrame:
     return salted_join(split, kept, [*CLASS, "g"]).select("provider", "news_id", "keep").distinct()
 
 
-def components(keyed: DataFrame, one: DataFrame) -> DataFrame:
-    """(class, k1, g, members) of every k1, where g is the least k2 that can be reached over shared keys of either kind.
+def components(keyed: DataFrame, one: DataFrame, by: list[str] = CLASS) -> DataFrame:
+    """(*by, k1, g, members) of every k1, where g is the least k2 that can be reached over shared keys of either kind."""
+    names = linked(keyed, one.where("g < top").select(*by, "k1"), by).select(*by, F.col("k2").alias("g"), "least")
+    return one.join(names, [*by, "g"], "left").select(*by, "k1", F.coalesce("least", "g").alias("g"), "members")
 
-    Only the k1 with several k2 link anything; over these keys, never over rows, minima are exchanged until none changes.
-    """
-    several = one.where("g < top").select(*CLASS, "k1")
-    links = checkpointed(keyed.select(*CLASS, "k1", "k2").distinct().join(several, [*CLASS, "k1"]).withColumn("g", F.col("k2")))
+
+def linked(keyed: DataFrame, several: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, k2, least) of the k2 that a k1 with several k2 (one of `several`) links to others; least is the smallest of the
+    component. Over these keys, never over rows, minima are exchanged until none changes."""
+    links = checkpointed(keyed.select(*by, "k1", "k2").distinct().join(several, [*by, "k1"]).withColumn("g", F.col("k2")))
     while True:
         for k in ("k1", "k2"):
-            links = links.withColumn("g" if k == "k2" else "h", F.min("g" if k == "k1" else "h").over(Window.partitionBy(*CLASS, k)))
+            links = links.withColumn("g" if k == "k2" else "h", F.min("g" if k == "k1" else "h").over(Window.partitionBy(*by, k)))
         # After the exchange over k2, all is settled if no k1 holds two values.
         links = checkpointed(links.drop("h"))
-        if links.groupBy(*CLASS, "k1").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").limit(1).count() == 0:
+        if links.groupBy(*by, "k1").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").limit(1).count() == 0:
             break
-    names = links.select(*CLASS, F.col("k2").alias("g"), F.col("g").alias("least")).distinct()
-    return one.join(names, [*CLASS, "g"], "left").select(*CLASS, "k1", F.coalesce("least", "g").alias("g"), "members")
+    return links.select(*by, "k2", F.col("g").alias("least")).distinct()
 
 
 def salted_join(rows: DataFrame, one: DataFrame, on: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:

@@ -20,7 +20,7 @@ def p2_found(spark, d):
 
 def p2_clean(spark, d):
     news = table(spark, d, "news_articles")
-    return p2_furniture.rebuild(news, p2_furniture.found(news))
+    return p2_furniture.rebuild(news, p2_furniture.folded(news).hits())
 
 
 def p5_found(spark, d):

@@ -150,19 +150,41 @@ def test_furniture_against_brute_force(spark, sf):
 
 
 def test_increments_equal_the_whole(spark):
-    rows = [(f"n{i}", "P ", f"글 {chr(0xAC00 + i)}\n광고 {i}") for i in range(10)] + [("n0", "p", "글 가\n광고 0"), ("n11", "p", "글  가\n광고 0!")]
-    df = news(spark, rows)
-    lines = p2_furniture.lines(df)
-    d = p2_furniture.deltas(lines)
-    parts = [d.where(F.col("part") == x) for x in ("2020-01", "2020-02")]
-    merged = p2_furniture.merge(*parts)
-    assert sorted(merged.collect()) == sorted(d.select(*merged.columns).collect())
-    t = p2_furniture.totals(df, lines)
-    before, after = p2_furniture.crossed(parts[0], t.where("part = '2020-01'")), p2_furniture.crossed(merged, t)
-    assert t.groupBy().agg(F.sum("n")).first()[0] == 10  # the copy isn't counted again
-    assert p2_furniture.newly_crossed(before, after).count() == after.join(before, ["provider", "line"], "left_anti").count()
+    def recount(rows):
+        """Brute force over all rows, articles being the groups of problem 5."""
+        df = news(spark, [r[:3] for r in rows])
+        keep = {r.news_id: r.keep for r in p5_copies.groups(df).collect()}
+        held, every = {}, {}
+        for i, p, c, _ in rows:
+            every.setdefault(p, set()).add(keep.get(i, i))
+            for line in c.split("\n"):
+                if w := p2_furniture.line_key(line):
+                    held.setdefault((p, w), set()).add(keep.get(i, i))
+        over = {k for k, v in held.items() if len(v) >= 3 and len(v) >= 0.05 * len(every[k[0]])}
+        return {(i, n) for i, p, c, _ in rows for n, line in enumerate(c.split("\n"), 1) if (p, p2_furniture.line_key(line)) in over}
+
+    rare = "\n드문 줄"
+    rows = [(f"n{i}", "p", f"글 {chr(0xAC00 + i)}\n광고 {i}" + (rare if i in (0, 3, 6) else ""), i % 3) for i in range(70)]
+    rows += [(f"c{i}", "p", f"글  {chr(0xAC00 + i)}!\n광고 {i}" + rare, 2) for i in (0, 3, 6)]  # copies that arrive later
+    # One article in three layouts, of which the last alone links the first two; two more bring its line over the threshold.
+    rows += [("x1", "q", "가: 나\n다: 라", 0), ("x2", "q", "다: 라 가: 나", 1), ("x3", "q", "다: 라\n가: 나", 2), ("x4", "q", "글\n가: 나", 1), ("x5", "q", "말\n가: 나", 2)]
+    rows += [(f"d{i}", "r", f"{chr(0xAC00 + i)}\n뜨는 줄" if i > 5 else f"{chr(0xAC00 + i)}", 0 if i < 7 else 1) for i in range(9)]
+    want = recount(rows)
+    assert ("n0", 3) not in want and ("x4", 2) in want and ("d6", 2) in want
+    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
+        state, touched = p2_furniture.Counts(spark), []
+        for k in order:
+            touched.append({r.news_id for r in state.add(news(spark, [r[:3] for r in rows if r[3] == k])).collect()})
+        assert {tuple(r) for r in state.hits().collect()} == want
+        if order == (0, 1, 2):  # d6 is marked again when its line crosses, n0 when its line falls; n9 stays as it is
+            assert ("n0", 3) in recount([r for r in rows if r[3] == 0])
+            assert "d6" in touched[1] and "n0" in touched[1] | touched[2] and "n9" not in touched[1] | touched[2]
+    df = news(spark, [r[:3] for r in rows])
+    assert {tuple(r) for r in p2_furniture.found(df).collect()} == want
     out = {r.news_id: r.content for r in p2_furniture.rebuild(df, p2_furniture.found(df)).collect()}
-    assert out["n3"] == "글 갃" and len(out) == 11
+    assert out["n3"] == "글 갃" and "x1" in out
+    again = p2_furniture.rebuild(df, p2_furniture.found(df), spark.createDataFrame([("n3",), ("d0",)], "news_id string"))
+    assert sorted(tuple(r) for r in again.collect()) == [("d0", "가", 0), ("n3", "글 갃", 1)]
 
 
 def test_copies_over_chains_of_layouts(spark):
