@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.bits import bitmap
+from orrery.llm.bits import bitmap, has
 from orrery.session import broadcast_checked, checkpointed
 
 _NON = re.compile(r"[\W_]+")
@@ -80,17 +80,12 @@ def _invariants(batches):
 
 
 def _keyed(bits: np.ndarray):
-    mask = len(bits) * 8 - 1
-
     def run(batches):
         for pdf in batches:
-            out = []
-            for prov, nid, text in zip(pdf["provider"], pdf["news_id"], pdf["content"]):
-                if plain := stripped(text):
-                    h = histogram(plain)
-                    cell = h & mask
-                    if bits[cell >> 3] >> (cell & 7) & 1:
-                        out.append((prov, nid, len(plain), h, *keys(text)))
+            plain = [stripped(t) for t in pdf["content"]]
+            hist = np.array([histogram(x) for x in plain], dtype=np.int64)
+            some = np.flatnonzero(has(bits, hist) & np.array([x != "" for x in plain], dtype=bool))
+            out = [(pdf["provider"].iat[i], pdf["news_id"].iat[i], len(plain[i]), hist[i], *keys(pdf["content"].iat[i])) for i in some]
             yield pd.DataFrame(out, columns=["provider", "news_id", "n", "hist", "k1", "k2"]).astype({"n": "int32", "hist": "int64", "k1": "int64", "k2": "int64"})
 
     return run
