@@ -8,6 +8,7 @@ are tried. A reading is taken if the corpus finds its pairs likelier than those
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -15,9 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counts are kept in tables of fixed size, whatever the corpus; rare pairs that share a cell only look likelier.
-PAIR_CELLS = 1 << 19
-CHAR_CELLS = 1 << 16
+from orrery.llm.counts import Table, pruned, tallied
+
+#: Counts are exact; pairs that make up less than this share of all pairs are taken as unseen, so there are two million
+#: others at most, whatever the corpus.
+SHARE = 5e-7
+#: Frequencies are compared per so many pairs, so the thresholds mean the same at every size.
+PER = 4e6
+_BITS = 21
 #: A pair's information counts in full only if it is much more frequent than this share of all pairs.
 RARE = 2e-5
 #: A pair under this many bits is improbable.
@@ -31,59 +37,53 @@ _FROM_TWO = "".join(ch for a in range(0xC2, 0xE0) for b in range(0x80, 0xC0) if
 _AS_HANGUL = re.compile(f"(?<![가-힣])[{_FROM_TWO}]+(?![가-힣])|(?<=[A-Za-zÀ-ſ])[{_FROM_TWO}]+")
 _LOST = re.compile("�")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
-#: What the right reading may consist of: printable Latin, punctuation, symbols and the scripts of the corpus.
-_PLAUSIBLE = re.compile("^[\t\n\r -~\xa0-ſ–-⁞₠-⅏←-⛿　-〿가-힣ㄱ-ㆎ一-鿿豈-﫿！-￮\U0001f300-\U0001faff️]*$")
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
-def pair_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(45)).astype(np.int64)
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a << _BITS) | b
 
 
 def _count(batches):
-    pairs, chars = np.zeros(PAIR_CELLS, dtype=np.int64), np.zeros(CHAR_CELLS, dtype=np.int64)
-    for pdf in batches:
-        c = codes_of("\n\n".join(pdf["text"]))
-        if len(c) > 1:
-            pairs += np.bincount(pair_cell(c[:-1], c[1:]), minlength=PAIR_CELLS)
-            chars += np.bincount(c % CHAR_CELLS, minlength=CHAR_CELLS)
-    every = np.concatenate([pairs, chars])
-    at = np.flatnonzero(every)
-    yield pd.DataFrame({"cell": at, "n": every[at]})
+    def keys():
+        for pdf in batches:
+            c = codes_of("\n\n".join(pdf["text"]))
+            if len(c) > 1:
+                yield pair_key(c[:-1], c[1:])
+
+    yield from tallied(keys())
 
 
 class Pairs:
     """Pair and character counts of the corpus."""
 
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        every = np.zeros(PAIR_CELLS + CHAR_CELLS, dtype=np.float64)
-        every[cells] = counts
-        self.pairs, self.chars = every[:PAIR_CELLS].astype(np.float32), every[PAIR_CELLS:].astype(np.float32)
-        self.total = max(1.0, float(every[:PAIR_CELLS].sum()))
+    def __init__(self, pairs: np.ndarray, n_pairs: np.ndarray, chars: np.ndarray, n_chars: np.ndarray):
+        self.pairs, self.total = Table(pairs, n_pairs), max(1.0, float(np.sum(n_chars)))
+        self.chars = np.zeros(1 << _BITS, dtype=np.float32)
+        self.chars[chars] = n_chars
 
     def information(self, c: np.ndarray) -> np.ndarray:
         """Mutual information of each adjacent pair in bits, shrunk towards 0 for pairs that are rare in the corpus."""
-        n = self.pairs[pair_cell(c[:-1], c[1:])]
-        e = (self.chars[c[:-1] % CHAR_CELLS] + 1.0) * (self.chars[c[1:] % CHAR_CELLS] + 1.0) / self.total
+        n = self.pairs.get(pair_key(c[:-1], c[1:])).astype(np.float64)
+        e = (self.chars[c[:-1]] + 1.0) * (self.chars[c[1:]] + 1.0) / self.total
         return np.log2((n + 0.1) / e) * n / (n + RARE * self.total)
 
     def rate(self, text: str) -> float:
         """Mean log2 of the pairs' frequencies."""
         c = codes_of(text)
-        return float(np.log2(self.pairs[pair_cell(c[:-1], c[1:])] + 0.5).mean()) if len(c) > 1 else 0.0
+        return float(np.log2(self.pairs.get(pair_key(c[:-1], c[1:])) * (PER / max(self.total, PER)) + 0.5).mean()) if len(c) > 1 else 0.0
 
 
 def statistics(texts: DataFrame) -> Pairs:
-    """Counts over all texts: each task fills tables of fixed size, so the driver gets at most PAIR_CELLS + CHAR_CELLS
-    rows for any corpus."""
-    t = texts.where(F.col("text").isNotNull()).select("text").mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return Pairs(t["cell"].to_numpy(dtype=np.int64), t["n"].to_numpy(dtype=np.float64))
+    """Counts over all texts. The driver gets a row per frequent pair, 1 / SHARE at most, and one per character."""
+    n = texts.where(F.col("text").isNotNull()).select("text").mapInPandas(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).persist()
+    chars = n.groupBy(F.shiftright("key", _BITS).alias("c")).agg(F.sum("n").alias("n")).toPandas()
+    pairs = pruned(n, float(chars["n"].sum()), SHARE)
+    n.unpersist()
+    return Pairs(pairs["key"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(), chars["c"].to_numpy(dtype=np.int64), chars["n"].to_numpy(dtype=np.float64))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -127,8 +127,8 @@ def to_bytes(run: str, wrong: str) -> bytes | None:
 
 
 @lru_cache(maxsize=100_000)
-def readings(run: str) -> list[tuple[str, int]]:
-    """(text, number of multi-byte sequences) of every inverse mapping that reads the whole run."""
+def readings(run: str) -> list[tuple[str, int, str]]:
+    """(text, number of multi-byte sequences, mapping) of every inverse mapping that reads the whole run."""
     out = []
     for wrong in _WRONG:
         b = to_bytes(run, wrong)
@@ -140,30 +140,41 @@ def readings(run: str) -> list[tuple[str, int]]:
             except UnicodeError:
                 continue
             if s != run and (right == "utf-8" or sum("가" <= ch <= "힣" for ch in s) * 2 >= len(s)):
-                out.append((s, sum(ord(ch) >= 0x80 for ch in s)))
+                out.append((s, sum(ord(ch) >= 0x80 for ch in s), f"{right} as {wrong}"))
     return out
 
 
-def better(p: Pairs, before: str, run: str, after: str):
-    """The best reading of the run between its neighbours, over several rounds of wrong reading, or None."""
-    best, known = None, run
-    front = {run: 0}
+@lru_cache(maxsize=100_000)
+def printable(s: str) -> bool:
+    """Whether a text is made of assigned characters without controls; which script they are of is for the counts to judge."""
+    return all(ch in "\t\n\r" or unicodedata.category(ch) not in ("Cc", "Cn", "Co", "Cs") for ch in s)
+
+
+def better(p: Pairs, before: str, run: str, after: str, trusted: frozenset = frozenset()):
+    """(text, mapping) of the best reading of the run between its neighbours, over several rounds of wrong reading, or None.
+
+    A short reading that the counts neither like nor dislike is taken only under a mapping that longer runs of the text have
+    shown to be at work (`trusted`)."""
+    best = None
+    front = {run: (0, "")}
+    old = p.rate(before + run + after)
     for _ in range(MAX_ROUNDS):
         new = {}
-        for t, _ in front.items():
-            for s, n in readings(t):
-                new[s] = n
-        for s, n in new.items():
+        for t in front:
+            for s, n, m in readings(t):
+                new[s] = n, m
+        for s, (n, m) in new.items():
             if "�" in s:
-                return s  # the wrong reading is plain, the original is lost
-            if _PLAUSIBLE.match(s) and not _C1.search(s):
-                gain = p.rate(before + s + after) - p.rate(before + known + after)
-                if (gain > 0.5 or n >= 4 and gain > -0.5) and (best is None or gain > best[0]):
-                    best = (gain, s)
+                return s, m  # the wrong reading is plain, the original is lost
+            if printable(s):
+                gain = p.rate(before + s + after) - old
+                # C1 controls are no text, so what reads them as text needs no likelihood beside it.
+                if (gain > 0.5 or (n >= 4 or m in trusted) and gain > -0.5 or _C1.search(run)) and (best is None or gain > best[0]):
+                    best = (gain, s, m if n >= 4 else "")
         front = new
         if not front:
             break
-    return best and best[1]
+    return best and best[1:]
 
 
 _RUN = re.compile("[^\x00-\x7f]+")
@@ -188,23 +199,25 @@ def repaired(p: Pairs, text: str) -> tuple[str, int, int]:
     inside = np.zeros(len(c) + 1, dtype=bool)
     for s, e in segments(score):
         inside[s : e + 1] = True
+    places = [x for m in _RUN.finditer(text) if (inside[slice(*m.span())] & odd[slice(*m.span())]).any() for x in _parts(text, *m.span())]
+    read: dict[tuple[int, int], tuple[str, str] | None] = {}
+    for a, b in places:
+        if not _LOST.search(text, a, b):
+            read[a, b] = better(p, text[max(0, a - 2) : a], text[a:b], text[b : b + 2])
+    if trusted := frozenset(r[1] for r in read.values() if r and r[1]):
+        for a, b in read:
+            if read[a, b] is None:
+                read[a, b] = better(p, text[max(0, a - 2) : a], text[a:b], text[b : b + 2], trusted)
     out, last, good, lost = [], 0, 0, 0
-    for m in _RUN.finditer(text):
-        s, e = m.span()
-        if not (inside[s:e] & odd[s:e]).any():
+    for a, b in places:
+        r = read.get((a, b))
+        if r is None:
+            lost += (a, b) not in read or bool(_C1.search(text, a, b))
             continue
-        for a, b in _parts(text, s, e):
-            if _LOST.search(text, a, b):
-                lost += 1
-                continue
-            r = better(p, text[max(0, a - 2) : a], text[a:b], text[b : b + 2])
-            if r is None:
-                lost += bool(_C1.search(text, a, b))
-                continue
-            good += "�" not in r
-            lost += "�" in r
-            out += [text[last:a], r]
-            last = b
+        good += "�" not in r[0]
+        lost += "�" in r[0]
+        out += [text[last:a], r[0]]
+        last = b
     return "".join([*out, text[last:]]), good, lost
 
 

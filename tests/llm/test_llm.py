@@ -1,4 +1,5 @@
 import datetime as dt
+import pickle
 import random
 import re
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import assign, p1_turns, p2_furniture, p3_scans, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding, queries
+from orrery.llm import assign, counts, p1_turns, p2_furniture, p3_scans, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding, queries
 from orrery.session import table
 
 CLASH = "n hist key k1 k2 _salt salt rn vh p whole block tokens cell line article part members keep g cut turn_no who pair blk same".split()
@@ -432,8 +433,13 @@ def pairs():
     ko = "담당 위원회는 이용약관을 시급히 개선하기로 했다는 설명이다 현행 제도는 통계가 없고 반도체 예산을 공개했다".split()
     eu = "für die Prüfung naïve café Piñola’s règlement déposé à l’été — “light” § 5 €9 über Straße größer".split()
     texts = [" ".join(rng.choice(w) for _ in range(60)) for w in (ko, eu, ko + eu) for _ in range(150)]
-    t = next(p10_encoding._count([pd.DataFrame({"text": texts})]))
-    return p10_encoding.Pairs(t["cell"].to_numpy(), t["n"].to_numpy(dtype=float)), texts, rng
+    return pairs_of(texts), texts, rng
+
+
+def pairs_of(texts):
+    t = pd.concat(p10_encoding._count([pd.DataFrame({"text": texts})])).groupby("key")["n"].sum()
+    chars = t.groupby(t.index.to_numpy() >> 21).sum()
+    return p10_encoding.Pairs(t.index.to_numpy(), t.to_numpy(), chars.index.to_numpy(), chars.to_numpy())
 
 
 WRONG = [("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("cp949", "latin-1")]
@@ -474,6 +480,49 @@ def test_hangul_from_two_bytes(pairs):
     assert p10_encoding.repaired(p, ko) == (ko, 0, 0)
 
 
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252", "mac_roman"])
+def test_scripts_the_corpus_hardly_has(pairs, wrong):
+    p, _, _ = pairs
+    done = 0
+    for text in ("Правительство предложило новый закон", "Η κυβέρνηση πρότεινε νέο νόμο", "政府提出了新的法律"):
+        try:
+            bad = text.encode().decode(wrong)
+        except UnicodeError:
+            continue
+        done += 1
+        assert p10_encoding.repaired(p, "see: " + bad)[0] == "see: " + text
+        assert p10_encoding.repaired(p, "see: " + text)[0] == "see: " + text
+    assert done or wrong == "cp1252"
+
+
+def test_other_scripts_in_the_corpus_change_nothing(spark):
+    """The corpus repeated, and mixed with texts of ten other scripts, gives the same findings."""
+    rng = random.Random(8)
+    scripts = [(0x410, 32), (0x391, 24), (0x5D0, 27), (0x627, 36), (0x905, 53), (0xE01, 46), (0x10D0, 33), (0x531, 38), (0x1200, 200), (0x4E00, 3000)]
+    word = lambda a, n: "".join(chr(a + rng.randrange(n)) for _ in range(4))
+    other = [(100_000 + i, " ".join(word(*scripts[i % 10]) for _ in range(40))) for i in range(400)]
+    ko = "담당 위원회는 이용약관을 시급히 개선하기로 했다는 설명이다 현행 제도는 통계가 없고 반도체 예산을 공개했다 für größer à".split()
+    own = []
+    for i in range(400):
+        w = [rng.choice(ko) for _ in range(30)]
+        own.append((i, " ".join(w if i % 20 else w[:10] + [x.encode().decode("latin-1") for x in w[10:16]] + w[16:])))
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda rows: {(r.doc_id, r.text) for r in p10_encoding.repairs(df(rows)).collect() if r.doc_id < 400}
+    alone = found(own)
+    assert {d for d, _ in alone} == set(range(0, 400, 20))
+    assert found(own + [(d + 1000 * k, t) for k in range(1, 4) for d, t in own] + other) == alone
+
+
+def test_exact_counts():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(-(2**62), 2**62, 50_000))
+    n = rng.integers(1, 1000, len(keys))
+    t = pickle.loads(pickle.dumps(counts.Table(keys, n)))
+    assert (t.get(keys) == n).all() and (t.get(keys + 1)[~np.isin(keys + 1, keys)] == 0).all() and counts.Table(keys[:0], n[:0]).get(keys).sum() == 0
+    parts = pd.concat(counts.tallied([keys[:7], keys[:9], keys[3:4]], limit=10)).groupby("key")["n"].sum()
+    assert parts[keys[3]] == 3 and parts[keys[8]] == 1
+
+
 def test_correct_texts_stay(pairs):
     p, texts, _ = pairs
     for t in texts:
