@@ -51,6 +51,17 @@ class Table:
         h ^= h >> np.uint64(32)
         return ((h * _FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
+    def one(self, key: int) -> float:
+        """The count of one key, given as an unsigned number."""
+        h = key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        at, signed = h >> (64 - self.bits), key - (key >> 63 << 64)
+        while (v := self.value[at]) >= 0:
+            if self.slot[at] == signed:
+                return float(v)
+            at = (at + 1) & (len(self.slot) - 1)
+        return 0.0
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._at(keys, self.bits)
         out = self.value[at]

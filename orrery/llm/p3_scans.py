@@ -19,12 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: n-gram counts are kept in one table of fixed size, whatever the corpus.
-CELLS = 1 << 20
+from orrery.llm.counts import Table, pruned, tallied
+
+#: n-gram counts are exact; n-grams that make up less than this share of all of their order count as unseen, so there are
+#: four million others at most, whatever the corpus.
+SHARE = 2.0**-20
 ORDER = 4
 BACKOFF = 0.4
 
-# What is read, what was printed, log probability of the confusion.
+# What is read, what was printed, log probability of the confusion. They hold where the corpus is too small to
+# show a confusion by itself (see `learned`); what it shows takes their place.
 HANGUL = {"익": "의", "욜": "을", "즤": "지", "콩": "공", "졍": "정", "얀": "안", "힌": "한", "샤": "사", "픔": "품", "룰": "률", "볍": "법", "쟝": "장"}
 PAIRS = {"0|": "이", "O|": "이", "7|": "기", "rn": "m"}
 LATIN = {"c": "e", "0": "o", "1": "l", "|": "I", "4": "A"}
@@ -52,47 +56,40 @@ def normal(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d", "0", text))
 
 
-def _grams(c: np.ndarray):
-    h = np.zeros(len(c), dtype=np.uint64)
-    for k in range(ORDER):
-        h = h[:-1] if k else h
-        h = (h + c[k:].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        yield (h >> np.uint64(7)) & np.uint64(CELLS - 1)
+def packed(texts) -> np.ndarray:
+    """The 4-gram that begins at every character of every text, and at the two spaces before it, in 16 bits a character.
+    Shorter n-grams are the beginnings of these, with zeros behind."""
+    whole = "   ".join(["", *map(normal, texts), ""])
+    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    c[(c > 0xFFFF) | (c == 0)] = 0xFFFF
+    return (c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]).view(np.int64) if len(c) > 3 else np.empty(0, dtype=np.int64)
 
 
 def _count(batches):
-    table = np.zeros(CELLS, dtype=np.int64)
-    for pdf in batches:
-        c = np.frombuffer(normal("\n".join(pdf["text"])).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        if len(c) >= ORDER:
-            for cells in _grams(c):
-                table += np.bincount(cells.astype(np.int64), minlength=CELLS)
-    at = np.flatnonzero(table)
-    yield pd.DataFrame({"cell": at, "n": table[at]})
+    yield from tallied(packed(pdf["text"]) for pdf in batches)
+
+
+#: What an n-gram of so many characters keeps of a packed 4-gram, as signed numbers.
+_KEEP = [-(1 << (16 * (ORDER - k))) for k in range(1, ORDER + 1)]
 
 
 class Grams:
     """Counts of all 1- to 4-grams, and the likelihood of a character behind others with backoff to shorter ones."""
 
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        self.table = np.zeros(CELLS, dtype=np.float32)
-        self.table[cells] = counts
-        self.known: dict[str, float] = {}
-        self.total = max(1.0, float(counts.sum()) / ORDER)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float, confusions: dict | None = None):
+        self.confusions = confusions if confusions is not None else learned(keys, counts, total)
+        self.table, self.total, self.known = Table(keys, cleaned(keys, counts, self.confusions)), max(1.0, total), {}
+        self.suspect = re.compile(_SUSPECT.pattern + "".join("|" + re.escape(x) for x in self.confusions))
 
     def __getstate__(self):
-        return {"table": self.table, "total": self.total}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state | {"known": {}}
+        return self.__dict__ | {"known": {}}
 
     def count(self, s: str) -> float:
-        h = 0
+        key = 0
         for ch in s:
-            h = ((h + ord(ch) + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-            h ^= h >> 29
-        return float(self.table[(h >> 7) & (CELLS - 1)])
+            c = ord(ch)
+            key = key << 16 | (c if 0 < c <= 0xFFFF else 0xFFFF)
+        return self.table.one(key << 16 * (ORDER - len(s)))
 
     def log(self, context: str, ch: str) -> float:
         s = context[-(ORDER - 1) :] + ch
@@ -118,18 +115,101 @@ class Grams:
 
 
 def statistics(texts: DataFrame) -> Grams:
-    """n-gram counts over all texts; each task fills a table of fixed size, so the driver gets at most CELLS rows."""
-    t = texts.where(F.col("text").isNotNull()).select("text").mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return Grams(t["cell"].to_numpy(dtype=np.int64), t["n"].to_numpy(dtype=np.float64))
+    """n-gram counts over all texts, and the confusions they show; the driver gets the frequent n-grams only."""
+    four = texts.where(F.col("text").isNotNull()).select("text").mapInPandas(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).persist()
+    total = float(four.agg(F.sum("n")).first()[0] or 0)
+    every = F.array(*[F.col("key").bitwiseAND(F.lit(k)) for k in _KEEP])
+    t = pruned(four.select(F.explode(every).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), total, SHARE, 2)
+    four.unpersist()
+    return Grams(t["key"].to_numpy(dtype=np.int64), t["n"].to_numpy(dtype=np.float64), total)
+
+
+#: A character is a confusion of another if it takes its place at an even rate: in so many of the surroundings where it
+#: must be seen at that rate it is seen, and there are so many such surroundings.
+MIN_COVER, MIN_PLACES, MAX_RATE = 0.5, 8, 0.2
+#: A surrounding fits a rate up to so many times its expected count, and three more for chance.
+SLACK = 4
+
+
+def learned(keys: np.ndarray, counts: np.ndarray, total: float) -> dict[str, list[tuple[str, float]]]:
+    """Read character: [(printed character, probability of the confusion)], estimated from the corpus.
+
+    In each surrounding of a hole (two or three characters of a 4-gram) the most frequent letter is taken as printed. A
+    letter that scans make of another stands in nearly all of the other's frequent surroundings, at one rate; a letter
+    that language puts in its place stands in a few, at any rate. Rates are estimated from the expected counts, once for
+    all surroundings and then again over those in which the letter isn't explained otherwise."""
+    k, n = keys.view(np.uint64), counts
+    at = [(k >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF) for i in range(ORDER)]
+    full = at[3] > 0
+    least = max(2.0, total * SHARE)
+    letter = np.zeros(1 << 16, dtype=bool)
+    letter[[c for c in range(1, 1 << 16) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]] = True
+    seen, support = {}, {}
+    for hole in (1, 2):
+        x, ctx, m = at[hole][full], (k[full] & ~(np.uint64(0xFFFF) << np.uint64(48 - 16 * hole))), n[full]
+        ok = letter[x]
+        x, ctx, m = x[ok], ctx[ok], m[ok]
+        order = np.lexsort((-m, ctx))
+        x, ctx, m = x[order], ctx[order], m[order]
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.empty(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(ctx)))
+        top, top_n = np.repeat(x[first], size), np.repeat(m[first], size)
+        for y, c in zip(x[first].tolist(), m[first].tolist()):
+            support.setdefault(y, []).append(c)
+        minor = (x != top) & (m < MAX_RATE * top_n)
+        for a, y, c, t in zip(x[minor].tolist(), top[minor].tolist(), m[minor].tolist(), top_n[minor].tolist()):
+            seen.setdefault((a, y), []).append((c, t))
+    out: dict[str, list[tuple[str, float]]] = {}
+    for (a, y), rows in seen.items():
+        if len(rows) < MIN_PLACES:
+            continue
+        tops = np.array(support[y])
+        c, t = np.array(rows).T
+        rate = c.sum() / tops.sum()
+        for _ in range(8):  # rate, then the surroundings that fit it, until both settle
+            fits = c < SLACK * rate * t + 3
+            new = c[fits].sum() / tops.sum()
+            if abs(new - rate) < 1e-9:
+                break
+            rate = new
+        due = tops * rate >= 2 * least
+        if due.sum() >= MIN_PLACES and (t[fits] * rate >= 2 * least).sum() >= MIN_COVER * due.sum():
+            out.setdefault(chr(a), []).append((chr(y), float(rate)))
+    return out
+
+
+def cleaned(keys: np.ndarray, counts: np.ndarray, confusions: dict[str, list[tuple[str, float]]]) -> np.ndarray:
+    """Counts without what the learned confusions explain: misread n-grams must not vouch for themselves.
+
+    Texts differ in their rates, so where another letter is by far more frequent, of what is left only the share counts
+    that is left of the misread letter in the whole corpus."""
+    n, k, table = np.array(counts, dtype=np.float64), keys.view(np.uint64), Table(keys, counts)
+    for a, into in confusions.items():
+        share = None
+        for i in range(ORDER):  # the first place holds the letter alone, too
+            shift = np.uint64(48 - 16 * i)
+            rows = np.flatnonzero((k >> shift) & np.uint64(0xFFFF) == ord(a))
+            due, most = np.zeros(len(rows)), np.zeros(len(rows))
+            for y, rate in into:
+                other = table.get(((k[rows] & ~(np.uint64(0xFFFF) << shift)) | (np.uint64(ord(y)) << shift)).view(np.int64))
+                due, most = due + SLACK * rate * other, np.maximum(most, other)
+            before, n[rows] = n[rows], np.maximum(n[rows] - due, 0)
+            if share is None:
+                alone = np.flatnonzero(k[rows] == np.uint64(ord(a)) << shift)
+                share = float((n[rows][alone] / before[alone]).sum()) if len(alone) else 0.0
+            n[rows[counts[rows] < MAX_RATE * most]] *= share
+    return n
 
 
 # -- wrong characters ---------------------------------------------------------------------------------------------
 
 
-def options(s: str, i: int):
+def options(g: Grams, s: str, i: int):
     """(characters taken, printed characters, log probability) of the readings of s at i besides the plain one."""
     ch, two = s[i], s[i : i + 2]
-    if ch in HANGUL:
+    for y, rate in g.confusions.get(ch, ()):
+        yield 1, y, math.log(rate)
+    if ch in HANGUL and ch not in g.confusions:
         yield 1, HANGUL[ch], LOG_HANGUL
     if two in PAIRS:
         yield 2, PAIRS[two], LOG_PAIR if "|" in two else LOG_LATIN
@@ -149,9 +229,9 @@ def _plain(s: str) -> str:
 def decode(g: Grams, s: str) -> str:
     """The likeliest printed line behind the line read. Where nothing can be read otherwise for more than the reach of the
     n-grams, all paths meet in one state, so only the stretches between such places are searched."""
-    if not _SUSPECT.search(s):
+    if not g.suspect.search(s):
         return s
-    choices = {i: alt for i in range(len(s)) if (alt := list(options(s, i)))}
+    choices = {i: alt for i in range(len(s)) if (alt := list(options(g, s, i)))}
     out, last = [], 0
     at = sorted(choices)
     k = 0

@@ -226,8 +226,14 @@ def test_hot_group_of_copies(spark, monkeypatch):
 @pytest.fixture(scope="module")
 def grams():
     text = "감독기관은 사례를 분석해 기본계획을 의무화하기로 했다. 정부는 안전성을 검토하기로 했다. 공공기관은 지난 5월 15일 의견을 모았다. the council shall publish safety rules for all firms. AI 기반\n" * 60
-    t = next(p3_scans._count([pd.DataFrame({"text": [text]})]))
-    return p3_scans.Grams(t["cell"].to_numpy(), t["n"].to_numpy(dtype=float))
+    return grams_of([text])
+
+
+def grams_of(texts):
+    keys = p3_scans.packed(texts)
+    k, n = np.unique(np.concatenate([keys & k for k in p3_scans._KEEP]), return_counts=True)
+    keep = n >= max(2, len(keys) * p3_scans.SHARE)
+    return p3_scans.Grams(k[keep], n[keep].astype(float), float(len(keys)))
 
 
 def test_decode(grams):
@@ -235,6 +241,24 @@ def test_decode(grams):
         assert p3_scans.decode(grams, read) == printed and p3_scans.decode(grams, printed) == printed
 
 
+def test_confusions_are_learned():
+    """A glyph that no table lists is learned from its even rate, and corrected; letters that language swaps are not."""
+    rng = random.Random(6)
+    stems = ["".join(chr(0xAC00 + rng.randrange(11172)) for _ in range(2)) for _ in range(150)]
+    ends = ["가는", "나가", "다가서", "에게", "라고", "들이", "마저"]
+    texts = []
+    for _ in range(400):
+        line = " ".join(rng.choice(stems) + rng.choice(ends) for _ in range(60))
+        texts.append("".join("갸" if ch == "가" and rng.random() < 0.03 else ch for ch in line))
+    g = grams_of(texts)
+    assert list(g.confusions) == ["갸"] and g.confusions["갸"][0][0] == "가" and abs(g.confusions["갸"][0][1] - 0.03) < 0.01
+    s = f"{stems[0]}갸는 {stems[1]}나갸"
+    assert p3_scans.decode(g, s) == s.replace("갸", "가") and p3_scans.decode(g, s.replace("갸", "가")) == s.replace("갸", "가")
+    # The corpus three times over and mixed with other scripts shows the same confusion.
+    other = [" ".join("".join(chr(a + rng.randrange(30)) for _ in range(5)) for _ in range(60)) for a in (0x410, 0x391, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x531, 0x3041, 0x30A1)]
+    assert {k: v[0][0] for k, v in grams_of(texts * 3 + other * 10).confusions.items()} == {"갸": "가"}
+
+
 def test_page_furniture(grams):
     lines = "가나 관리에 관한 법률안\n의안번호 12\n정부는 안전성을 검토하-\n- 1 -\n\x0c가나 관리에 관한 법률안 (초안)\n기로 했다.\n사례를 분석해\n가나 관리에 관힌 법률안 (초안)     2\n끝.\n15".split("\n")
     found, text = p3_scans.analyse(grams, "\n".join(lines))
