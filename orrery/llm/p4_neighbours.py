@@ -1,14 +1,18 @@
 """Most similar vectors for every vector (problem 4), by multi-index hashing.
 
-A rotation learned on a bounded sample (principal axes, then alternating between signs and the nearest rotation) turns
-vectors into 64-bit codes of four 16-bit substrings. Codes within a Hamming radius of 7 agree in one substring up to one
-bit, so probing every substring exactly and with one flipped bit retrieves all of them, and most farther ones. Pairs that
-agree in a substring meet inside its bucket, where their vectors are at hand; pairs that agree only up to a flipped
-bit are retrieved by their codes, and their vectors joined. Both are reranked on floats.
+Rotations learned on a bounded sample (principal axes, then alternating between signs and the nearest rotation) turn
+vectors into binary codes of several substrings, each about as wide as log2 of the number of vectors, so that buckets
+hold a few vectors each at any size. By the pigeonhole principle codes within a Hamming radius agree in one substring
+up to one bit; every substring is probed exactly and with one flipped bit. There are as many substrings as the sample
+shows to be needed for the wanted recall. Pairs that agree in a substring meet inside its bucket, where their vectors
+are at hand; pairs that agree only up to a flipped bit are retrieved by their codes, and their vectors joined. Both are
+reranked on floats.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -19,11 +23,16 @@ from pyspark.sql.window import Window
 from orrery.session import broadcast_checked
 
 DIM = 64
-SUBS, BITS = 4, 16
+#: Substrings are log2(vectors / LOAD) bits wide.
+LOAD = 4
+MIN_SUBS, MAX_SUBS, MAX_BITS = 4, 16, 30
+#: Recall wanted of the probes, measured on the sample's own nearest pairs when the rotations are learned.
+RECALL = 0.96
 TOP = 5
 MIN_COSINE = 0.85
-#: Codes farther apart than this are not compared on floats.
-RADIUS = 16
+#: Codes that differ in more than this share of their bits are not compared on floats. Of the nearest pairs of at least
+#: MIN_COSINE (an angle of 32 degrees, so 18 % of the bits on average) none was found beyond 33 %.
+RADIUS = 0.34
 #: The rotation is fitted on about so many vectors, taken by the hash of their ids; all vectors are indexed.
 SAMPLE = 8192
 ITERATIONS = 30
@@ -54,58 +63,92 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(mean, rotation):
-    weights = np.uint64(1) << np.arange(DIM, dtype=np.uint64)
-
+class Codes:
+    """Learned rotations, and the codes they give: `subs` substrings of `bits` bits."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.bits = int(min(MAX_BITS, max(4, math.ceil(math.log2(max(n, 2) / LOAD)))))
+        self.learned = [learn(sample, seed) for seed in range(math.ceil(MAX_SUBS * self.bits / DIM))]
+        self.subs = MAX_SUBS
+        pairs = self._nearest(sample)
+        codes = self.of(sample)
+        miss = np.ones(len(pairs), dtype=bool)
+        for s in range(MAX_SUBS):
+            x = codes[pairs[:, 0], s] ^ codes[pairs[:, 1], s]
+            miss &= np.bitwise_count(x) > 1
+            if s + 1 >= MIN_SUBS and miss.mean() <= 1 - RECALL if len(pairs) else s + 1 == MIN_SUBS:
+                self.subs = s + 1
+                break
+        self.learned = self.learned[: math.ceil(self.subs * self.bits / DIM)]
+        self.radius = int(RADIUS * self.subs * self.bits)
+
+    @staticmethod
+    def _nearest(x: np.ndarray) -> np.ndarray:
+        """The sample's pairs of at least MIN_COSINE that are among the nearest of one of them."""
+        out = []
+        for a in range(0, len(x), 1024):
+            c = x[a : a + 1024] @ x.T
+            c[np.arange(len(c)), np.arange(a, a + len(c))] = -1
+            j = c.argmax(1)
+            i = np.flatnonzero((c[np.arange(len(c)), j] >= MIN_COSINE) & (c[np.arange(len(c)), j] < 1 - 1e-9))
+            out.append(np.stack([i + a, j[i]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """int32 substrings of unit vectors, a row each."""
+        signs = np.concatenate([(x - mean) @ r > 0 for mean, r in self.learned], axis=1)[:, : self.subs * self.bits]
+        return (signs.reshape(len(x), self.subs, self.bits) * (1 << np.arange(self.bits))).sum(2).astype(np.int32)
+
+
+def _encode(codes: Codes):
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = unit(pdf["vector"])
-            code = (((x - mean) @ rotation > 0).astype(np.uint64) * weights).sum(1, dtype=np.uint64).view(np.int64)
             vec = [r.tobytes() for r in np.stack([np.asarray(v, dtype=np.float32) for v in pdf["vector"]])]
-            yield pd.DataFrame({"vh": pdf["vh"], "rid": pdf["rid"], "code": code, "vec": vec})
+            yield pd.DataFrame({"vh": pdf["vh"], "rid": pdf["rid"], "code": list(codes.of(unit(pdf["vector"]))), "vec": vec})
 
     return run
 
 
-def _within(batches):
+def _within(radius: int):
     """Pairs inside buckets: rows come sorted by bucket; runs are cut where the bucket changes, across batches too."""
-    rest = None
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["pair"] == pdf["pair"].iloc[-1])
-        rest = pdf[last]
-        if not last.all():
-            yield _bucket_pairs(pdf[~last])
-    if rest is not None and len(rest):
-        yield _bucket_pairs(rest)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["pair"] == pdf["pair"].iloc[-1])
+            rest = pdf[last]
+            if not last.all():
+                yield _bucket_pairs(pdf[~last], radius)
+        if rest is not None and len(rest):
+            yield _bucket_pairs(rest, radius)
+
+    return run
 
 
-def _bucket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _bucket_pairs(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     n = len(pdf)
-    key, pair, blk = (pdf[c].to_numpy() for c in ("key", "pair", "blk"))
-    code, rid = pdf["code"].to_numpy().view(np.uint64), pdf["rid"].to_numpy()
-    sub = (key >> BITS).astype(np.uint64)
-    same_block = pdf["same"].to_numpy()
+    key, pair, blk, same = (pdf[c].to_numpy() for c in ("key", "pair", "blk", "same"))
+    code, rid, sub = np.stack(pdf["code"].to_numpy()), pdf["rid"].to_numpy(), key >> 32
+    bucket = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
     v = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(n, DIM).astype(np.float64)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     out_i, out_j, out_c = [], [], []
     at = np.arange(n)
     for o in range(1, n):
         at = at[at + o < n]
-        at = at[(key[at] == key[at + o]) & (pair[at] == pair[at + o])]
+        at = at[bucket[at] == bucket[at + o]]
         if not len(at):
             break
         i, j = at, at + o
         x = code[i] ^ code[j]
         # The pair counts only in the first substring that agrees.
-        ok = (same_block[i] | (blk[i] != blk[j])) & (np.bitwise_count(x) <= RADIUS)
-        for s in range(SUBS - 1):
-            ok &= ~((sub[i] > s) & (((x >> np.uint64(s * BITS)) & np.uint64((1 << BITS) - 1)) == 0))
+        ok = (same[i] | (blk[i] != blk[j])) & (np.bitwise_count(x).sum(1) <= radius) & ((x == 0).argmax(1) == sub[i])
         i, j = i[ok], j[ok]
         c = np.round(np.einsum("ij,ij->i", v[i], v[j]), 6)
         ok = c >= MIN_COSINE
@@ -115,8 +158,7 @@ def _bucket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     if not out_i:
         return pd.DataFrame({"rid": [], "other": [], "cosine": []}).astype({"rid": str, "other": str, "cosine": float})
     i, j, c = (np.concatenate(x) for x in (out_i, out_j, out_c))
-    d = pd.DataFrame({"run": np.concatenate([i, i]), "rid": rid[np.concatenate([i, j])], "other": rid[np.concatenate([j, i])], "cosine": np.concatenate([c, c])})
-    d["run"] = key[d["run"].to_numpy()] * 1_000_003 + pair[d["run"].to_numpy()]
+    d = pd.DataFrame({"run": bucket[np.concatenate([i, i])], "rid": rid[np.concatenate([i, j])], "other": rid[np.concatenate([j, i])], "cosine": np.concatenate([c, c])})
     d = d.sort_values(["run", "rid", "cosine", "other"], ascending=[True, True, False, True], kind="stable")
     return d[d.groupby(["run", "rid"], sort=False).cumcount() <= TOP][["rid", "other", "cosine"]]
 
@@ -159,33 +201,36 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     if n == 0:
         return ok.select("chunk_id", F.col("chunk_id").alias("other"), F.lit(1.0).alias("cosine")).limit(0)
     sample = ok.where(F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, n // SAMPLE))) == 0).select("vector").toPandas()["vector"]
-    mean, rotation = learn(unit(sample) if len(sample) else np.eye(DIM))
-    coded = base.select("vh", F.col("chunk_id").alias("rid"), "vector").mapInPandas(_encode(mean, rotation), "vh long, rid string, code long, vec binary")
+    codes_of = Codes(unit(sample) if len(sample) else np.eye(DIM), n)
+    subs, bits = codes_of.subs, codes_of.bits
+    coded = base.select("vh", F.col("chunk_id").alias("rid"), "vector").mapInPandas(_encode(codes_of), "vh long, rid string, code array<int>, vec binary")
     order = Window.partitionBy("vh").orderBy("rid")
     first = coded.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= TOP + 1)
     members = coded.select("vh", "rid").withColumn("rn", F.row_number().over(order)).where((F.col("rn") <= TOP + 1) & (F.col("rn") > 1)).select("vh", F.col("rid").alias("chunk_id"))
     reps = _kept_by_hash(first.where("rn = 1").drop("rn"))
 
-    value = lambda s: F.shiftrightunsigned("code", s * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    keys = reps.withColumn("key", F.explode(F.array(*[F.lit(s << BITS) + value(s) for s in range(SUBS)])))
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("m"))
-    blocked = keys.join(broadcast_checked(hot), "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("blk", F.pmod("vh", F.col("m")).cast("int"))
-    blocked = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    # A key is the number of the substring in the upper half, its bits in the lower.
+    keys = reps.withColumn("key", F.explode(F.array(*[F.lit(s << 32) + F.get("code", F.lit(s)) for s in range(subs)])))
+    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("m")).persist()
+    blocks = lambda rows: rows.join(broadcast_checked(hot), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    own = F.pmod("vh", F.col("m")).cast("int")
+    blocked = blocks(keys).withColumn("blk", own).withColumn("with", every)
     blocked = blocked.select("key", (F.least("blk", "with") * F.col("m") + F.greatest("blk", "with")).alias("pair"), "blk", (F.col("blk") == F.col("with")).alias("same"), "rid", "code", "vec")
     # The same pair of blocks has one number from either side; within it, rows of one block meet only in their own.
-    near = blocked.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(_within, "rid string, other string, cosine double")
+    near = blocked.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(_within(codes_of.radius), "rid string, other string, cosine double")
 
+    # Of two keys that differ in one bit, the one without the bit asks. A hot bucket is asked block by block.
     codes = keys.select("vh", "code", "key")
-    flips = codes.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.expr("0") == F.call_function("getbit", F.col("key"), b))))
-    probe = flips.select(F.col("vh").alias("vh_a"), F.col("code").alias("code_a"), (F.col("key") + F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("key"))
-    x = F.col("code_a").bitwiseXOR(F.col("code"))
-    part = lambda s: F.shiftrightunsigned(x, s * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
-    none_equal = F.lit(True)
-    first_near = F.lit(SUBS)
-    for s in reversed(range(SUBS)):
-        none_equal = none_equal & (part(s) != 0)
-        first_near = F.when(F.bit_count(part(s)) == 1, F.lit(s)).otherwise(first_near)
-    far = probe.join(codes, "key").where((F.bit_count(x) <= RADIUS) & none_equal & (first_near == F.shiftright("key", BITS))).select("vh_a", F.col("vh").alias("vh_b"))
+    flips = codes.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.expr("0") == F.call_function("getbit", F.col("key"), b))))
+    probe = flips.select(F.col("vh").alias("vh_a"), F.col("code").alias("code_a"), (F.col("key") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("key"))
+    x = [F.get("code_a", F.lit(s)).bitwiseXOR(F.get("code", F.lit(s))) for s in range(subs)]
+    none_equal, distance, first_near = F.lit(True), F.lit(0), F.lit(subs)
+    for s in reversed(range(subs)):
+        none_equal, distance = none_equal & (x[s] != 0), distance + F.bit_count(x[s])
+        first_near = F.when(F.bit_count(x[s]) == 1, F.lit(s)).otherwise(first_near)
+    met = blocks(probe).withColumn("blk", every).drop("m").join(blocks(codes).withColumn("blk", own).drop("m"), ["key", "blk"])
+    far = met.where((distance <= codes_of.radius) & none_equal & (first_near == F.shiftright("key", 32))).select("vh_a", F.col("vh").alias("vh_b"))
     vec = lambda k: reps.select(F.col("vh").alias(f"vh_{k}"), F.col("rid").alias(f"rid_{k}"), F.col("vec").alias(f"vec_{k}"))
     met = far.join(vec("a"), "vh_a").join(vec("b"), "vh_b").select("rid_a", "rid_b", "vec_a", "vec_b").mapInPandas(_rerank, "a string, b string, cosine double")
     met = met.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("p"), "cosine").select("p.rid", "p.other", "cosine")
