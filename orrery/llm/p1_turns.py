@@ -3,8 +3,10 @@
 Each transcript is parsed line by line into stretches of speech. Labels that give a full name build a roster of
 persons and roles, per transcript and across transcripts; labels that give only a role, only a family name or a
 misspelled name are blocked phonetically and assigned to the roster at least cost, each label to another person.
-Chunks take the persons of the transcript that they were cut from. Only labels that their own transcript leaves open
-go to the cross-transcript roster.
+Chunks take the persons of the transcript that they were cut from. Labels that their own transcript leaves open go to
+the cross-transcript roster, and so do full names that stand in one transcript alone: they may be a spelling of
+somebody whom the other transcripts of the committee know in that role. Offices that no list has are learned from the
+places where labels have them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,32 +29,44 @@ ROLES = "소위원장 부위원장 위원장 전문위원 위원 부의장 의
 FILLERS = "어 어어 에 음 으음 아 그 저 저기 뭐 뭐랄까 허허 그러니까".split()
 FAMILY = "김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구나민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용예경봉사부가복태목형피두감음빈동온호범좌팽승간상시갈단견당화창"
 
-_ROLE = "(?:" + "|".join(ROLES) + ")"
+#: Family names of two syllables; with them a name has three syllables or four.
+DOUBLE = "남궁 황보 제갈 사공 선우 서문 독고 동방".split()
+#: A word is an office if so many labels have it behind a name, of at least two different names.
+MIN_LABELS = 3
+
 _TIME = r"(?:\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?|\d{1,2}:\d{2}(?!\d)|\d{1,2}\s*시\s*\d{1,2}\s*분)"
 _MARK = re.compile(rf"[\[(<【]\s*{_TIME}(?:\s*(?:개의|산회|정회|속개))?\s*[\])>】]|(?<![\d가-힣]){_TIME}(?![\d가-힣])")
 _LEAD = re.compile(rf"^\s*(?:[\[(<【]\s*{_TIME}\s*[\])>】]|{_TIME}(?![\d가-힣]))\s*")
 _NOTE = re.compile(r"\([^()\n]{1,40}\)|\[[^\[\]\n]{1,40}\]|【[^【】\n]{1,40}】|<[^<>\n]{1,40}>|\*[^*\n]{1,20}\*")
-_NAME = r"[가-힣](?:\s?[가-힣]){2}"
+_NAME = rf"(?:(?:{'|'.join(DOUBLE)})[가-힣]{{1,2}}|[가-힣](?:\s?[가-힣]){{2}})"
 _BULLET = r"[○◯●◎◇◆■□▶▷·•]"
-#: Label forms, tried in this order; the groups are named n (name or family name) and r (role).
-_LABELS = [
-    re.compile(p)
-    for p in (
-        rf"^<\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})?\s*>",
-        rf"^{_BULLET}?\s*(?P<r>{_ROLE})\s*[(（]\s*(?P<n>{_NAME})\s*[)）]\s*[:：]?",
-        rf"^{_BULLET}?\s*(?P<n>)(?P<r>{_ROLE})\s*[:：]",
-        rf"^{_BULLET}?\s*(?P<n>[가-힣])\s?(?P<r>{_ROLE})\s*[:：]",
-        rf"^{_BULLET}?\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})?\s*[:：]",
-        rf"^\[\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})?\s*\]\s*[:：]?",
-        rf"^{_BULLET}\s*(?P<n>)(?P<r>{_ROLE})\s*[―—–]\s",
-        rf"^{_BULLET}\s*(?P<n>[가-힣])\s?(?P<r>{_ROLE})\s*[―—–]\s",
-        rf"^{_BULLET}\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})?\s*[―—–-]\s",
-        rf"^{_BULLET}\s*(?P<r>{_ROLE})\s(?P<n>[가-힣]{{3}})(?:\s\s|\s*$)",
-        rf"^{_BULLET}\s*(?P<n>)(?P<r>{_ROLE})(?=\s|$)",
-        rf"^{_BULLET}\s*(?P<n>[가-힣])\s?(?P<r>{_ROLE})(?=\s|$)",
-        rf"^{_BULLET}\s*(?P<n>{_NAME})\s*(?P<r>{_ROLE})(?=\s|$)",
-    )
-]
+
+
+@lru_cache(maxsize=8)
+def label_forms(roles: tuple[str, ...]) -> list[re.Pattern]:
+    """Label forms, tried in this order; the groups are named n (name or family name) and r (role)."""
+    role = "(?:" + "|".join(sorted(roles, key=len, reverse=True)) + ")"
+    return [
+        re.compile(p)
+        for p in (
+            rf"^<\s*(?P<n>{_NAME})\s*(?P<r>{role})?\s*>",
+            rf"^{_BULLET}?\s*(?P<r>{role})\s*[(（]\s*(?P<n>{_NAME})\s*[)）]\s*[:：]?",
+            rf"^{_BULLET}?\s*(?P<n>)(?P<r>{role})\s*[:：]",
+            rf"^{_BULLET}?\s*(?P<n>[가-힣])\s?(?P<r>{role})\s*[:：]",
+            rf"^{_BULLET}?\s*(?P<n>{_NAME})\s*(?P<r>{role})?\s*[:：]",
+            rf"^{_BULLET}?\s*(?P<n>[가-힣]{{2}})\s(?P<r>{role})\s*[:：]",
+            rf"^\[\s*(?P<n>{_NAME})\s*(?P<r>{role})?\s*\]\s*[:：]?",
+            rf"^{_BULLET}\s*(?P<n>)(?P<r>{role})\s*[―—–]\s",
+            rf"^{_BULLET}\s*(?P<n>[가-힣])\s?(?P<r>{role})\s*[―—–]\s",
+            rf"^{_BULLET}\s*(?P<n>{_NAME})\s*(?P<r>{role})?\s*[―—–-]\s",
+            rf"^{_BULLET}\s*(?P<r>{role})\s(?P<n>[가-힣]{{3}})(?:\s\s|\s*$)",
+            rf"^{_BULLET}\s*(?P<n>)(?P<r>{role})(?=\s|$)",
+            rf"^{_BULLET}\s*(?P<n>[가-힣])\s?(?P<r>{role})(?=\s|$)",
+            rf"^{_BULLET}\s*(?P<n>{_NAME})\s*(?P<r>{role})(?=\s|$)",
+        )
+    ]
+
+
 #: Words for a committee that name none.
 _NO_BODY = frozenset(x + "위원회" for x in "소 본 각 이 그 동 당 귀 양 해당 전체 상임 특별 우리 저희".split())
 _FILLER_SET = frozenset(FILLERS)
@@ -80,26 +95,31 @@ def clean(text: str) -> str:
     return " ".join(words)
 
 
-def label_of(line: str):
+def is_full(name: str) -> bool:
+    """Whether a label's name is a person's whole name, not the family name alone."""
+    return len(name) >= 2 and name not in DOUBLE
+
+
+def label_of(line: str, roles: tuple[str, ...] = tuple(ROLES)):
     """(name, role, rest) if the line begins with a speaker label, else None. Time marks before it are skipped."""
     s = line
     while (m := _LEAD.match(s)) is not None and m.end():
         s = s[m.end() :]
     s = s.strip()
-    for p in _LABELS:
+    for p in label_forms(roles):
         if m := p.match(s):
             name = re.sub(r"\s", "", m["n"] or "")
-            if name and name[0] not in _FAMILY_SET or len(name) == 3 and name in ROLES:
+            if name and name[0] not in _FAMILY_SET or len(name) > 1 and name in roles:
                 continue
             return name, m["r"] or "", s[m.end() :]
     return None
 
 
-def stretches(text: str) -> list[tuple[str, str, str]]:
+def stretches(text: str, roles: tuple[str, ...] = tuple(ROLES)) -> list[tuple[str, str, str]]:
     """(name, role, clean speech) of every labelled stretch, those without speech too: their labels still name persons."""
     out: list[tuple[str, str, list[str]]] = []
     for line in unicodedata.normalize("NFC", text).split("\n"):
-        if hit := label_of(line):
+        if hit := label_of(line, roles):
             out.append((hit[0], hit[1], [hit[2]]))
         elif out:
             out[-1][2].append(line)
@@ -110,7 +130,7 @@ def roster(labels) -> dict[str, Counter]:
     """Full name: counts of its roles. Spellings that sound alike are one person, under the most frequent spelling."""
     seen: dict[str, Counter] = defaultdict(Counter)
     for n, r in labels:
-        if len(n) == 3:
+        if is_full(n):
             seen[n][r] += 1
     groups: dict[str, list[str]] = defaultdict(list)
     for n in seen:
@@ -146,7 +166,7 @@ def assign(labels, people: dict[str, Counter], across: bool = False) -> dict[tup
     short = []
     for lab in dict.fromkeys(labels):
         n, r = lab
-        if len(n) == 3:
+        if is_full(n):
             if p := by_sound.get(phonetic(n)):
                 out[lab] = p
         else:
@@ -176,19 +196,71 @@ def assign(labels, people: dict[str, Counter], across: bool = False) -> dict[tup
 _PARSED = "item_table string, doc_id string, source string, meeting string, body string, pos int, name string, role string, who string, speech string"
 
 
-def _parse(batches):
-    for pdf in batches:
-        rows = []
-        for tab, doc, src, text, meeting, committee in zip(pdf["item_table"], pdf["doc_id"], pdf["source"], pdf["text"], pdf["meeting"], pdf["committee"]):
-            text = unicodedata.normalize("NFC", text)
-            parts = stretches(text)
-            labels = [(n, r) for n, r, _ in parts]
-            found = assign(labels, roster(labels))
-            body = body_of(unicodedata.normalize("NFC", committee)) if isinstance(committee, str) else ""
-            body = body or body_of(text)
-            for k, (n, r, speech) in enumerate(parts):
-                rows.append((tab, doc, src, meeting, body, k, n, r, found.get((n, r)), speech))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARSED.split(", ")])
+def _parse(roles: tuple[str, ...]):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for tab, doc, src, text, meeting, committee in zip(pdf["item_table"], pdf["doc_id"], pdf["source"], pdf["text"], pdf["meeting"], pdf["committee"]):
+                text = unicodedata.normalize("NFC", text)
+                parts = stretches(text, roles)
+                labels = [(n, r) for n, r, _ in parts]
+                found = assign(labels, roster(labels))
+                body = body_of(unicodedata.normalize("NFC", committee)) if isinstance(committee, str) else ""
+                body = body or body_of(text)
+                for k, (n, r, speech) in enumerate(parts):
+                    rows.append((tab, doc, src, meeting, body, k, n, r, found.get((n, r)), speech))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARSED.split(", ")])
+
+    return run
+
+
+def offices(transcripts: DataFrame) -> tuple[str, ...]:
+    """The fixed offices and those that labels have: words between a full name and a colon, in at least MIN_LABELS labels
+    that hold one in 100,000 of all labelled lines, so there are 100,000 at most."""
+    line = F.explode(F.split(F.regexp_replace("text", r"[^\S\n]+", " "), "\n"))
+    label = rf"^ ?{_BULLET}? ?([{FAMILY}][가-힣]{{2,3}}) ([가-힣]{{2,8}}) ?[:：]"
+    rows = transcripts.where(F.col("text").isNotNull()).select(line.alias("line")).where(F.col("line").rlike(label))
+    rows = rows.select(F.regexp_extract("line", label, 1).alias("name"), F.regexp_extract("line", label, 2).alias("office"))
+    n = rows.groupBy("office", "name").agg(F.count("*").alias("n")).groupBy("office").agg(F.sum("n").alias("n"), F.count("*").alias("names")).persist()
+    every = n.agg(F.sum("n")).first()[0] or 0
+    new = n.where((F.col("n") >= max(MIN_LABELS, every * 1e-5)) & (F.col("names") >= 2) & ~F.col("office").isin(ROLES)).select("office").toPandas()["office"]
+    n.unpersist()
+    return (*ROLES, *sorted(new))
+
+
+def jamo(name: str) -> list[int]:
+    return [x for c in name for k in [ord(c) - 0xAC00] for x in ((k // 588, k % 588 // 28, k % 28) if 0 <= k < 11172 else (ord(c), 0, 0))]
+
+
+def _respell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One transcript's full names that stand nowhere else, assigned to the persons whose names differ in one sound."""
+    names, cands = sorted(set(pdf["who"])), sorted(set(pdf["cand"]))
+    cost = np.full((len(names), len(cands)), 1e6)
+    for w, c, seen in zip(pdf["who"], pdf["cand"], pdf["seen"]):
+        if sum(x != y for x, y in zip(jamo(w), jamo(c))) == 1:
+            cost[names.index(w), cands.index(c)] = 1 / (1 + seen)
+    first = pdf.iloc[0]
+    return pd.DataFrame([(first["item_table"], first["doc_id"], first["source"], names[i], cands[j]) for i, j in least_cost(cost) if cost[i, j] < 1e6], columns=["item_table", "doc_id", "source", "who", "right"])
+
+
+#: A name is a spelling of another only if so many transcripts of the committee have the other in the same role.
+MIN_SEEN = 3
+
+
+def respelled(parsed: DataFrame, known: DataFrame) -> DataFrame:
+    """(item_table, doc_id, source, who, right): full names that one transcript alone has, and the person of the same body
+    and role that they spell. Blocks are the name with one syllable left out, by its sound; who has the right person in
+    the same transcript is somebody else."""
+    item = ["item_table", "doc_id", "source"]
+    full = F.length("who") >= 3
+    names = parsed.where(full & (F.col("body") != "")).select(*item, F.coalesce("meeting", "doc_id").alias("of"), "body", "role", "who").distinct()
+    alone = names.groupBy("who").agg(F.count_distinct("of", "source").alias("k")).where("k = 1").select("who")
+    block = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.lit("_"), F.substring(c, i + 1, F.length(c)))))
+    ask = names.join(alone, "who").withColumn("block", block(F.col("who")))
+    answer = known.where((F.col("seen") >= MIN_SEEN) & (F.length("cand") >= 3)).withColumn("block", block(F.col("cand")))
+    met = ask.join(answer, ["body", "role", "block"]).where("who <> cand").select(*item, "who", "cand", "seen")
+    met = met.join(names.select(*item, F.col("who").alias("cand")).distinct(), [*item, "cand"], "left_anti")
+    return met.groupBy(*item).applyInPandas(_respell, "item_table string, doc_id string, source string, who string, right string")
 
 
 def _meeting(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,21 +311,21 @@ def turns(transcripts: DataFrame) -> DataFrame:
     """
     pieces = "meeting" in transcripts.columns
     extra = [F.col(c) if c in transcripts.columns else F.lit(None).cast("string").alias(c) for c in ("meeting", "committee")]
-    parsed = transcripts.where(F.col("text").isNotNull()).select("item_table", "doc_id", "source", "text", *extra).mapInPandas(_parse, _PARSED)
+    parsed = transcripts.where(F.col("text").isNotNull()).select("item_table", "doc_id", "source", "text", *extra).mapInPandas(_parse(offices(transcripts)), _PARSED)
     parsed = (_of_meeting(parsed.persist()) if pieces else parsed).persist()
     item = ["item_table", "doc_id", "source"]
-    open_ = parsed.where(F.col("who").isNull() & (F.length("name") < 3) & (F.col("body") != "")).select(*item, "body", "name", "role").distinct()
+    open_ = parsed.where(F.col("who").isNull() & (F.col("body") != "")).select(*item, "body", "name", "role").distinct()
     # The roster has a row per person, role and body. With k open labels in a transcript, k - 1 at most of a label's
     # candidates can be taken by the others, so no assignment of least cost goes beyond its k best.
-    known = parsed.where((F.length("who") == 3) & (F.col("body") != "")).groupBy("body", "role", F.col("who").alias("cand")).agg(F.countDistinct(F.coalesce("meeting", "doc_id"), "source").alias("seen"))
+    known = parsed.where((F.length("who") >= 2) & (F.col("body") != "")).groupBy("body", "role", F.col("who").alias("cand")).agg(F.countDistinct(F.coalesce("meeting", "doc_id"), "source").alias("seen"))
     family, order = F.substring("cand", 1, 1), [F.desc("seen"), F.asc("cand")]
     ranked = known.withColumn("family", family).withColumn("at", F.row_number().over(Window.partitionBy("body", "role").orderBy(*order))).withColumn("at_family", F.row_number().over(Window.partitionBy("body", "role", "family").orderBy(*order)))
     competing = open_.withColumn("k", F.count("*").over(Window.partitionBy(*item)))
     options = competing.join(ranked, ["body", "role"]).where(F.when(F.col("name") == "", F.col("at") <= F.col("k")).otherwise((F.col("name") == F.col("family")) & (F.col("at_family") <= F.col("k"))))
     settled = options.select(*item, "name", "role", "cand", "seen").groupBy(*item).applyInPandas(_settle, "item_table string, doc_id string, source string, name string, role string, other string")
     keys = ["item_table", "doc_id", "source", "name", "role"]
-    named = parsed.join(settled, keys, "left").where(F.col("speech") != "")
-    speaker = F.coalesce("who", "other", F.when(F.col("name") != "", F.col("name")), F.col("role"))
+    named = parsed.join(settled, keys, "left").join(respelled(parsed, known), [*item, "who"], "left").where(F.col("speech") != "")
+    speaker = F.coalesce("right", "who", "other", F.when(F.col("name") != "", F.col("name")), F.col("role"))
     return (
         named.select("item_table", "doc_id", "source", "pos", speaker.alias("speaker"), "speech")
         .groupBy("item_table", "doc_id", "source")

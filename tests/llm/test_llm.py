@@ -101,6 +101,26 @@ def test_roster_keeps_every_candidate(spark):
     assert got == {1: "김가나", 2: "김다라"}
 
 
+def test_spellings_across_transcripts(spark):
+    right = "보건위원회\n김가나 위원장: 말\n이다라 위원: 말"
+    rows = [("document_text", f"o{i}", "minutes_plenary", right) for i in range(4)]
+    rows.append(("document_text", "d", "minutes_plenary", "보건위원회\n김가냐 위원장: 하나\n◯위원장 둘\n이다라 위원: 셋"))  # one sound off, in this transcript alone
+    rows.append(("document_text", "e", "minutes_plenary", "보건위원회\n김가나 위원장: 하나\n김기나 위원장: 둘"))  # beside the person it might spell
+    rows.append(("document_text", "f", "minutes_plenary", "재정위원회\n김거나 위원장: 하나"))  # of another committee
+    rows.append(("document_text", "g", "minutes_plenary", "보건위원회\n◯위원장 하나"))  # two chairs: the one seen more often
+    df = spark.createDataFrame(rows, "item_table string, doc_id string, source string, text string")
+    got = {(r.doc_id, r.turn_no): r.speaker for r in p1_turns.turns(df).collect()}
+    assert got["d", 1] == "김가나" and ("d", 3) not in got and got["d", 2] == "이다라"
+    assert got["e", 2] == "김기나" and got["f", 1] == "김거나" and got["g", 1] == "김가나"
+
+
+def test_offices_are_learned(spark):
+    text = "김가나 총리: 하나\n이다라 총리: 둘\n◯총리 셋\n박마바 총리: 넷\n남궁민수 위원: 다섯\n김훈 위원: 여섯\n최사아 말로는: 일곱"
+    assert p1_turns.offices(spark.createDataFrame([(text,)], "text string")) == (*p1_turns.ROLES, "총리")
+    got = [s for s, _ in turns_of(spark, text)]
+    assert got[:2] == ["김가나", "이다라"] and got[-3:] == ["박마바", "남궁민수", "김훈"]
+
+
 def test_least_cost():
     rng = np.random.default_rng(0)
     from itertools import combinations, permutations
