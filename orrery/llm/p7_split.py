@@ -27,6 +27,19 @@ _KINDS = [
 _MARKS = re.compile("[̀-ͯᅠ-ᇿ︀-️‍\U0001f3fb-\U0001f3ff]")
 
 
+def starts_of(text: str, ends: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """Where the pieces behind the ends start: `overlap` before them, and before any combining marks that begin there, as
+    long as these are no more than half of what a piece brings anew."""
+    start = np.maximum(ends - overlap, 0)
+    if _MARKS.search(text):
+        base = np.ones(len(text) + 1, dtype=bool)
+        base[[m.start() for m in _MARKS.finditer(text)]] = False
+        base[0] = True
+        back = np.maximum.accumulate(np.where(base, np.arange(len(base)), 0))[start]
+        start = np.where(start - back <= (limit - overlap) // 2, back, start)
+    return start
+
+
 def successors(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
     """(ends, succ): the sorted places at which pieces can end, 0 first and the length last, and for each the index of
     the place where the next piece ends. The piece after the end e starts at e - overlap (the first at 0) and takes the
@@ -43,7 +56,7 @@ def successors(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     hard = [nat[i] + np.arange(step + (limit - step if nat[i] == 0 else 0), gap[i], step) for i in wide]
     ends = np.unique(np.concatenate([nat, *hard, [0, n]]).astype(np.int64))
     ends = ends[(ends == 0) | (ends == n) | ~_is_mark(text, ends)]
-    start = np.maximum(ends - overlap, 0)
+    start = starts_of(text, ends, limit, overlap)
     far = np.minimum(start + limit, n)
     best = np.full(len(ends), -1, dtype=np.int64)
     for p in kinds:
@@ -54,7 +67,7 @@ def successors(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     last = ends[np.searchsorted(ends, far, side="right") - 1]
     best = np.where(best < 0, last, best)
     best = np.where(start + limit >= n, n, best)
-    best = np.where(best <= ends, np.minimum(ends + step, n), best)  # only behind a combining mark at the limit
+    best = np.where(best <= ends, np.minimum(start + limit, n), best)  # only behind a combining mark at the limit
     extra = np.setdiff1d(best, ends)
     if len(extra):  # such places need successors of their own
         ends, succ = _walk(ends, best, extra, n, step)
@@ -92,7 +105,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
         reached, jump = now, jump[jump]
     e = ends[reached]
     e = e[e > 0]
-    s = np.concatenate([[0], np.maximum(e[:-1] - overlap, 0)])
+    s = np.concatenate([[0], starts_of(text, e[:-1], limit, overlap)])
     return list(zip(s.tolist(), e.tolist()))
 
 
@@ -134,6 +147,18 @@ def items(bill_text: DataFrame, documents: DataFrame, chunks: DataFrame) -> Data
     )
 
 
+def rebuilt(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(item_table, item_key, digest, fits, joined) of every item with text, for a check of the cuts: the digest of the
+    text put together from its pieces, whether all are within the limit, and whether all begin at least `overlap` before
+    the end of the piece before and go on behind it."""
+    src = items.withColumn("item_key", F.concat("item_key", F.lit("|"), F.md5("text")))
+    p = F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "text")))
+    rows = pieces(src, limit, overlap).groupBy("item_table", "item_key").agg(p.alias("p"))
+    fresh = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.get("p", i - 1)["end"].cast("int") - x["start"].cast("int") + 1, F.lit(limit))))
+    joined = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | ((F.get("p", i)["start"] <= F.get("p", i - 1)["end"] - overlap) & (F.get("p", i)["end"] > F.get("p", i - 1)["end"])))
+    return rows.select("item_table", F.substring_index("item_key", "|", 1).alias("item_key"), F.md5(F.array_join(fresh, "")).alias("digest"), F.forall("p", lambda x: F.length(x["text"]) <= limit).alias("fits"), joined.alias("joined"))
+
+
 def found(all_items: DataFrame) -> DataFrame:
     """Items that needed more than one piece."""
     return pieces(all_items, oversized_only=True, with_text=False, unique=False).where("piece_no = 2").select("item_table", "item_key").distinct()

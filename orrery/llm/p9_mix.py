@@ -136,3 +136,14 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         t.join(got, "source", "left").crossJoin(F.broadcast(every)).na.fill(0, ["documents", "uses", "tokens"])
         .select("source", "target_share", "documents", "uses", "tokens", F.coalesce(F.try_divide(F.col("tokens"), F.col("every")), F.lit(0.0)).alias("actual_share"))
     )
+
+
+def bounds(mixed: DataFrame, targets: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """(source, target, reached, repeats_ok) of every listed source that has documents: its share among such sources, whether
+    the share of tokens is within the tolerance of it, and whether no document is used too often."""
+    t = targets.where(F.col("source").isNotNull()).groupBy(loose_source(F.col("source")).alias("source")).agg(F.min("max_repeats").alias("cap"))
+    got = shares(mixed, targets).where("tokens > 0")
+    every = got.agg(F.sum("target_share").alias("all"))
+    used = mixed.groupBy("source").agg(F.max("repeats").alias("most"))
+    target = F.col("target_share") / F.col("all")
+    return got.crossJoin(F.broadcast(every)).join(t, "source").join(used, "source").select("source", F.round(target, 9).alias("target"), (F.abs(F.col("actual_share") - target) <= tolerance).alias("reached"), (F.col("most") <= F.col("cap")).alias("repeats_ok"))

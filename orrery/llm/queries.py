@@ -63,6 +63,14 @@ def p7_pieces(spark, d):
     return p7_split.pieces(_items(spark, d))
 
 
+def p7_rebuilt(spark, d):
+    return p7_split.rebuilt(_items(spark, d))
+
+
+def p9_bounds(spark, d):
+    return p9_mix.bounds(p9_mix_documents(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark, d):
     return p8_leaks.leaks(table(spark, d, "documents"), table(spark, d, "bench_items"))
 
@@ -102,10 +110,12 @@ def queries():
         "p5_records": p5_records,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
+        "p7_rebuilt": p7_rebuilt,
         "p8_found": p8_found,
         "p8_items": p8_items,
         "p9_mix": p9_mix_documents,
         "p9_shares": p9_shares,
+        "p9_bounds": p9_bounds,
         "p10_found": p10_found,
         "p10_restored": p10_restored,
     }
@@ -139,5 +149,22 @@ SELECT DISTINCT min(y) AS news_id_keep, x AS news_id_copy FROM reach GROUP BY p,
 """
 
 
+_P7_REBUILT = """
+WITH items AS (
+  SELECT 'bill_text' AS item_table, bill_id AS item_key, full_text AS t FROM bill_text
+  UNION SELECT 'document_text', source || ':' || doc_id, full_text FROM document_text
+  UNION SELECT 'chunks', chunk_id, text FROM chunks)
+SELECT item_table, item_key, md5(t) AS digest, true AS fits, true AS joined FROM items WHERE t <> '' AND item_key IS NOT NULL
+"""
+
+_P9_BOUNDS = r"""
+WITH spelled AS (SELECT regexp_replace(lower(trim(source, E' \t\n\r')), '[\s_-]+', '_', 'g') AS source, target_share AS share FROM mix_targets WHERE source IS NOT NULL),
+listed AS (SELECT source, sum(share) AS share FROM spelled GROUP BY source),
+held AS (SELECT DISTINCT regexp_replace(lower(trim(source, E' \t\n\r')), '[\s_-]+', '_', 'g') AS source FROM documents WHERE text <> '' AND source IS NOT NULL)
+SELECT source, round(share / (SELECT sum(share) FROM listed SEMI JOIN held USING (source)), 9) AS target, true AS reached, true AS repeats_ok
+FROM listed SEMI JOIN held USING (source)
+"""
+
+
 def oracle_sql():
-    return {"p5_found": _P5_FOUND, "p7_found": _P7_FOUND}
+    return {"p5_found": _P5_FOUND, "p7_found": _P7_FOUND, "p7_rebuilt": _P7_REBUILT, "p9_bounds": _P9_BOUNDS}

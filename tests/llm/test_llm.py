@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import assign, counts, p1_turns, p2_furniture, p3_scans, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding, queries
+from orrery.llm import assign, counts, p1_turns, p2_furniture, p3_scans, p4_neighbours, p5_copies, p7_split, p8_leaks, p9_mix, p10_encoding, queries, tokens
 from orrery.session import table
 
 CLASH = "n hist key k1 k2 _salt salt rn vh p whole block tokens cell line article part members keep g cut turn_no who pair blk same".split()
@@ -342,7 +342,9 @@ def test_pieces_cover_the_text(text, limit, overlap):
         assert c == []
         return
     assert c[0][0] == 0 and c[-1][1] == len(text) and all(0 < b - a <= limit for a, b in c)
-    assert all(s == max(0, e - overlap) for (_, e), (s, _) in zip(c, c[1:]))
+    mark = lambda i: bool(p7_split._MARKS.match(text[i]))
+    assert all(s <= max(0, e - overlap) and f > e for (_, e), (s, f) in zip(c, c[1:]))
+    assert all(s == max(0, e - overlap) or not mark(s) and all(mark(i) for i in range(s + 1, e - overlap + 1)) for (_, e), (s, _) in zip(c, c[1:]))
     if len(text) > limit:  # the doubled table gives what a walk from left to right gives
         ends, succ = p7_split.successors(text, limit, overlap)
         i, walk = 0, []
@@ -434,6 +436,13 @@ def test_heavy_seeds_give_the_same(spark, monkeypatch):
 # -- p9 -----------------------------------------------------------------------------------------------------------
 
 
+def test_token_counts_do_not_hang_on_length():
+    enc = tokens.encoding(*tokens.vocabulary())
+    rng = random.Random(2)
+    for text in ("", "가 나", " ".join(rng.choice(["가나다", "word", " x", "12,5", "\n\n", "é!"]) for _ in range(400)), "x" * 300, "가" * 50 + "  " + "b c" * 90):
+        assert all(tokens.count(enc, text, part) == len(enc.encode_ordinary(text)) for part in (1, 7, 40, 100_000))
+
+
 def test_flight_keeps_the_balance():
     rng = random.Random(0)
     for _ in range(30):
