@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -115,6 +116,70 @@ def log_table(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").json(log)
 
 
+def events(log: DataFrame, table: str | None = None, since: float | None = None) -> DataFrame:
+    """(run, start, status, table, change) of the changes in a run log, of one table and from one time on."""
+    c = F.explode("changes").alias("c")
+    rows = log.where(F.col("changes").isNotNull()).select("run", "start", "status", c).select("run", "start", "status", F.col("c")[0].alias("table"), F.col("c")[1].alias("change"))
+    rows = rows.where(F.col("table") == table) if table is not None else rows
+    return rows.where(F.col("start") >= since) if since is not None else rows
+
+
+def prune(log: str, keep: int) -> int:
+    """Keep the last `keep` runs of a log and drop malformed lines; how many lines went is given back."""
+    lines = open(log, encoding="utf-8").read().splitlines() if os.path.exists(log) else []
+    sound = [json.dumps(e, ensure_ascii=False) for e in read_log(log)][-keep:] if keep else []
+    tmp = f"{log}.new"
+    with open(tmp, "w", encoding="utf-8") as f:
+        f.writelines(x + "\n" for x in sound)
+    os.replace(tmp, log)
+    return len(lines) - len(sound)
+
+
+def kept_versions(df: DataFrame, keys: list[str], when: str, keep: int) -> DataFrame:
+    """The `keep` latest rows of each key."""
+    w = Window.partitionBy(*keys).orderBy(F.col(when).desc_nulls_last(), *[F.col(c) for c in sorted(set(df.columns) - {*keys, when})])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
+
+
+def storage_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes, digest) of the files of a table: the digest of path, size and time of each, in the order of paths. Only
+    file metadata is read; the list has a row per file."""
+    m = F.col("_metadata")
+    f = spark.read.parquet(path).select(m["file_path"].alias("p"), m["file_size"].alias("s"), m["file_modification_time"].cast("string").alias("t")).distinct()
+    return f.agg(F.count("*").alias("files"), F.sum("s").alias("bytes"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "p", "s", "t"))), "\n")).alias("digest"))
+
+
+def cast_report(df: DataFrame, column: str, to: str) -> DataFrame:
+    """(value, before, after): the histogram of a column's values before and after the cast, for the values that cast and,
+    under null, for those that don't; the cast is safe where both are equal for every value."""
+    rows = df.select(F.col(column).alias("old"), F.col(column).try_cast(to).cast("string").alias("value"))
+    return rows.groupBy("value").agg(F.count("*").alias("after"), F.count_if(F.col("old").isNotNull()).alias("before")).select("value", "before", "after")
+
+
+def cast_column(df: DataFrame, column: str, to: str) -> DataFrame:
+    """The table with the column cast; raises if a value doesn't cast."""
+    bad = uncastable(df, column, to).limit(5).collect()
+    if bad:
+        raise ValueError(f"{column} has values that are no {to}: {[r['value'] for r in bad]}")
+    return df.withColumn(column, F.col(column).cast(to))
+
+
+def violations(tables: dict[str, DataFrame], whole: dict[str, str], no_nulls: dict[str, list[str]], not_numeric: dict[str, list[str]]) -> DataFrame:
+    """(table, rule, n) of the rules that rows break: columns that must be whole numbers, columns without nulls, and labels
+    that must not be bare numbers. One pass per table."""
+    out = None
+    for name, df in tables.items():
+        checks = {f"{whole[name]} is no whole number": F.col(whole[name]).isNotNull() & F.col(whole[name]).cast("string").try_cast("int").isNull()} if name in whole else {}
+        checks |= {f"{c} is null": F.col(c).isNull() for c in no_nulls.get(name, [])}
+        checks |= {f"{c} is a bare number": F.col(c).cast("string").rlike(r"^\s*\d+\s*$") for c in not_numeric.get(name, [])}
+        if not checks:
+            continue
+        n = df.agg(*[F.count_if(c).alias(str(i)) for i, c in enumerate(checks.values())])
+        rows = n.select(F.explode(F.array(*[F.struct(F.lit(name).alias("table"), F.lit(rule).alias("rule"), F.col(str(i)).alias("n")) for i, rule in enumerate(checks)])).alias("x")).select("x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.where("n > 0")
+
+
 def uncastable(df: DataFrame, column: str, to: str) -> DataFrame:
     """(value, n) of values that don't cast."""
     return df.where(F.col(column).isNotNull() & F.col(column).try_cast(to).isNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

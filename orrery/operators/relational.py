@@ -120,6 +120,35 @@ def where_dict(spec: dict) -> Column:
     return reduce(lambda a, b: a & b, [one(k, v) for k, v in spec.items()], F.lit(True))
 
 
+def keep_flag(flag: str) -> Column:
+    """Rows whose flag is true or unknown."""
+    return F.coalesce(F.col(flag), F.lit(True))
+
+
+def renamed(df: DataFrame, spec: dict[str, tuple[str, str]], view: str | None = None) -> DataFrame:
+    """A typed view: {column: (raw column, type)}. Casts that fail give null. With `view` it is registered in the session."""
+    out = df.select(*[F.col(raw).try_cast(kind).alias(c) for c, (raw, kind) in spec.items()])
+    if view:
+        out.createOrReplaceTempView(view)
+    return out
+
+
+def gather(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Rows with the vectors of the same key: an equi-join on the key, after vectors are reduced to one per key (the
+    smallest), so no row multiplies."""
+    one = vectors.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("vector").alias("vector"))
+    return rows.join(one, key)
+
+
+def upsert_vectors(table: DataFrame, new: DataFrame, key: str, dim: int) -> DataFrame:
+    """Upsert of (key, vector) rows. New vectors that are null, of another length or not finite are left out; of repeated
+    keys the smallest vector counts; vectors are stored in single precision."""
+    v = F.col("vector")
+    sound = v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fresh = new.where(F.col(key).isNotNull() & sound).groupBy(key).agg(F.min(v.cast("array<float>")).alias("vector"))
+    return upsert(table.select(key, v.cast("array<float>").alias("vector")), fresh, [key])
+
+
 def fallback(df: DataFrame, key: str, out: str, *sources: tuple[DataFrame, str, str]) -> DataFrame:
     """`out` from the first source that has a non-empty value: each source is (table, its key, its value column), reduced to
     the smallest value per key before the join."""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.relational import where_dict
+from orrery.session import broadcast_checked, shared_folder
 
 # Fixed values.
 TOP_K, RRF_K = 30, 60
@@ -106,33 +108,129 @@ def sub_corpus(source: Column, doc_source: Column, chunk_id: Column) -> Column:
 
 
 class Bm25Index:
-    """Postings (sub_id, id, token, tf), lengths (sub_id, id, dl), and per sub-corpus statistics. All are tables, so a search
-    is a plan; scores of different sub-corpora use their own statistics."""
-
-    def __init__(self, docs: DataFrame, key: str, text: str, sub: Column, tokens: Callable[[Column], Column] = word_tokens):
-        t = docs.where(F.col(text).isNotNull()).select(sub.alias("sub_id"), F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("token"))
-        self.postings = t.groupBy("sub_id", "id", "token").agg(F.count("*").alias("tf"))
-        self.lengths = self.postings.groupBy("sub_id", "id").agg(F.sum("tf").alias("dl"))
-        self.frequency = self.postings.groupBy("sub_id", "token").agg(F.count("*").alias("df"))
-        self.stats = self.lengths.groupBy("sub_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """A stored index: (bucket, token, sub_id, id, weight), one row per posting, partitioned by a hash bucket of the token
+    and sorted by token. What a token adds to a document's score doesn't depend on the query, so it is worked out once,
+    with the statistics of the sub-corpus; a search reads the rows of its terms and sums them up.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.postings = folder, spark.read.parquet(f"{folder}/postings")
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, text: str, sub: Column, folder: str | None = None, tokens: Callable[[Column], Column] = word_tokens) -> Bm25Index:
+        """Build the index in a folder, by default one in the session's shared folder. A folder that has a finished index is
+        opened as it is. The texts are read once; null keys and texts and texts without tokens are not in it."""
+        spark = docs.sparkSession
+        folder = folder or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        if not _exists(spark, f"{folder}/postings/_SUCCESS"):
+            t = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(sub.alias("sub_id"), F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("token"))
+            p = t.groupBy("sub_id", "id", "token").agg(F.count("*").alias("tf")).persist()
+            lengths = p.groupBy("sub_id", "id").agg(F.sum("tf").alias("dl"))
+            stats = lengths.groupBy("sub_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+            frequency = p.groupBy("sub_id", "token").agg(F.count("*").alias("df"))
+            idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+            tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+            rows = p.join(lengths, ["sub_id", "id"]).join(broadcast_checked(stats), "sub_id").join(frequency, ["sub_id", "token"])
+            rows = rows.select(_bucket(F.col("token")).alias("bucket"), "token", "sub_id", "id", (idf * tf).alias("weight"))
+            # A bucket is a folder of the table, not a task: tokens spread over all tasks, whatever the bucket.
+            rows.repartition("token").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+            p.unpersist()
+        return cls(spark, folder)
 
     def search(self, terms: list[str], k: int = TOP_K) -> DataFrame:
         """(id, sub_id, score, rank): top k per sub-corpus, scores over 0, then the top k of all by raw score."""
         terms = list(dict.fromkeys(t.lower() for t in terms))
-        hits = self.postings.where(F.col("token").isin(terms))
-        df = self.frequency.where(F.col("token").isin(terms))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = (
-            hits.join(F.broadcast(df), ["sub_id", "token"])  # rows: sub-corpora times query terms
-            .join(F.broadcast(self.stats), "sub_id")
-            .join(self.lengths, ["sub_id", "id"])
-            .groupBy("sub_id", "id").agg(F.sum(idf * tf).alias("score")).where("score > 0")
-        )
+        hits = self.postings.where(F.col("bucket").isin(buckets_of(self.postings.sparkSession, terms)) & F.col("token").isin(terms))
+        scored = hits.groupBy("sub_id", "id").agg(F.sum("weight").alias("score")).where("score > 0")
         w = Window.partitionBy("sub_id").orderBy(F.desc("score"), F.asc("id"))
         best = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).orderBy(F.desc("score"), F.asc("id")).limit(k)
         return best.select("id", "sub_id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))) - 1).alias("rank"))
 
+    def search_batch(self, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+        """(query, id, sub_id, score, rank) of (query, terms array) rows, each as by `search`."""
+        asked = queries.select("query", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("token"))
+        scored = self.postings.join(broadcast_checked(asked), "token").groupBy("query", "sub_id", "id").agg(F.sum("weight").alias("score")).where("score > 0")
+        per = Window.partitionBy("query", "sub_id").orderBy(F.desc("score"), F.asc("id"))
+        every = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+        best = scored.withColumn("rn", F.row_number().over(per)).where(F.col("rn") <= k).drop("rn")
+        return best.withColumn("rank", F.row_number().over(every) - 1).where(F.col("rank") < k).select("query", "id", "sub_id", "score", "rank")
+
+
+BUCKETS = 64
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(spark: SparkSession, terms: list[str]) -> list[int]:
+    rows = spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect() if terms else []
+    return [r["b"] for r in rows]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+class AnnIndex:
+    """A stored inverted file of vectors: (cell, key, vector), partitioned by the nearest of at most 256 centroids. A search
+    reads the few cells nearest to its query. Centroids are fitted on a bounded sample, taken by the hash of the key; all
+    sound vectors are indexed."""
+
+    CELLS, SAMPLE = 256, 65_536
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.rows = folder, spark.read.parquet(f"{folder}/vectors")
+        c = spark.read.parquet(f"{folder}/centroids").orderBy("cell").toPandas()
+        self.centroids = np.stack(c["centroid"].to_numpy()) if len(c) else np.zeros((0, 0))
+
+    @classmethod
+    def build(cls, rows: DataFrame, key: str, vector: str, folder: str | None = None, cells: int | None = None, seed: int = 5) -> AnnIndex:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        spark = rows.sparkSession
+        folder = folder or f"{shared_folder(spark)}/ann-{uuid.uuid4().hex}"
+        if not _exists(spark, f"{folder}/vectors/_SUCCESS"):
+            v = F.col(vector).cast("array<double>")
+            sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+            base = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).select(F.col(key).alias("key"), F.transform(v, lambda x: x / norm(v)).alias("unit"), F.col(vector).alias("vector"))
+            n = base.count()
+            sample = base.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // cls.SAMPLE))) == 0).select(array_to_vector("unit").alias("features"))
+            k = min(cells or cls.CELLS, max(2, int(np.sqrt(max(n, 1)))))
+            model = KMeans(k=k, seed=seed, maxIter=15).fit(sample)
+            cents = [[float(x) for x in c] for c in model.clusterCenters()]
+            spark.createDataFrame(list(enumerate(cents)), "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{folder}/centroids")
+            placed = model.transform(base.withColumn("features", array_to_vector("unit"))).select(F.col("prediction").alias("cell"), "key", "vector")
+            placed.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+        return cls(spark, folder)
+
+    def search(self, query: list[float], k: int = TOP_K, probes: int = 16, where: dict | None = None) -> DataFrame:
+        """(key, score, rank) of the k nearest within the `probes` cells nearest to the query; with as many probes as cells
+        the exact result. Only these cells' folders are read."""
+        q = np.asarray(query, dtype=float)
+        d = ((self.centroids - q / np.linalg.norm(q)) ** 2).sum(1)
+        near = [int(i) for i in np.argsort(d, kind="stable")[:probes]]
+        return knn(self.rows.where(F.col("cell").isin(near)), "key", "vector", [float(x) for x in q], k, where)
+
+    def search_batch(self, queries: DataFrame, k: int = TOP_K, probes: int = 16) -> DataFrame:
+        """(query, key, score, rank) of every (query, vector) row, by a join on the probed cells."""
+        cents = self.centroids
+        kind = dict(queries.dtypes)["query"]
+
+        def probed(batches):
+            for pdf in batches:
+                q = np.stack([np.asarray(v, dtype=float) for v in pdf["vector"]]) if len(pdf) else np.zeros((0, cents.shape[1]))
+                d = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ cents.T * 2 + (cents**2).sum(1)
+                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"query": np.repeat(pdf["query"].to_numpy(), near.shape[1]), "cell": near.ravel().astype("int32"), "asked": [v for v in pdf["vector"] for _ in range(near.shape[1])]})
+
+        ask = queries.where("vector is not null").select("query", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(probed, f"query {kind}, cell int, asked array<double>")
+        s = self.rows.join(broadcast_checked(ask), "cell").select("query", "key", cosine(F.col("asked"), F.col("vector")).alias("score")).where("score is not null")
+        w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key"))
+        return s.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
 
 def rrf(first: DataFrame, second: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two lists (key, rank from 0): (key, score, rank). Ties keep the order of the first list, then
@@ -144,15 +242,27 @@ def rrf(first: DataFrame, second: DataFrame, key: str, k: int = RRF_K) -> DataFr
 
 
 class Search:
-    """Hybrid search over a chunk table: dense and BM25 lists of 30, BM25 filtered after its cut, fused, texts joined."""
+    """Hybrid search over a chunk table: dense and BM25 lists of 30, BM25 filtered after its cut, fused, texts joined. Without
+    a vector the words alone decide, without a word index (`bm25=None`) the vectors."""
 
-    def __init__(self, chunks: DataFrame, key: str = "chunk_id", vector: str = "vector", text: str = "text", embed: Callable[[str], list[float]] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, chunks: DataFrame, key: str = "chunk_id", vector: str = "vector", text: str = "text", embed: Callable[[str], list[float]] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, bm25: Bm25Index | str | None = "build"):
         self.chunks, self.key, self.vector, self.text, self.embed, self.rerank = chunks, key, vector, text, embed, rerank
-        self.bm25 = Bm25Index(chunks, key, text, sub_corpus(F.col("source"), F.col("doc_source"), F.col(key)))
+        self._bm25 = bm25
+
+    @property
+    def bm25(self) -> Bm25Index | None:
+        if self._bm25 == "build":  # built when it is first asked for
+            self._bm25 = Bm25Index.build(self.chunks, self.key, self.text, sub_corpus(F.col("source"), F.col("doc_source"), F.col(self.key)))
+        return self._bm25
 
     def hybrid(self, query: str, top_k: int = 10, where: dict | None = None, vector: list[float] | None = None) -> DataFrame:
         v = vector if vector is not None else self.embed and self.embed(query)
-        sparse = self.bm25.search(query.split()).select(F.col("id").alias(self.key), "score", "rank")
+        if self.bm25 is None:
+            if v is None:
+                raise ValueError("neither vectors nor words to search by")
+            sparse = knn(self.chunks, self.key, self.vector, v, 1).limit(0)
+        else:
+            sparse = self.bm25.search(query.split()).select(F.col("id").alias(self.key), "score", "rank")
         if where:
             sparse = sparse.join(self.chunks.where(where_dict(where)).select(self.key), self.key, "left_semi")
         if v is None:  # without an embedding the words alone decide
@@ -181,3 +291,59 @@ class Search:
 
     def stats(self, version: str) -> DataFrame:
         return self.chunks.where(F.col("embed_config_ver") == version).groupBy("source").agg(F.count("*").alias("n"))
+
+    def member(self, name: str, members: DataFrame) -> DataFrame:
+        """The cards of a member by name; where the chunks have none, the rows of the member table."""
+        cards = self.chunks.where(where_dict({"source": "member", "name": name})).select(F.col("mona_cd"), "name", F.col(self.text).alias("text"))
+        own = members.where(where_dict({"name": name})).select("mona_cd", "name", F.concat_ws(" ", "name", "party", "district").alias("text"))
+        return cards.unionByName(own.join(cards.select("mona_cd"), "mona_cd", "left_anti"))
+
+
+SHOWN_TEXT = 400
+REFERENCES = ("bill_id", "doc_id", "conf_id", "mona_cd")
+
+
+def formatted(results: DataFrame, text: str = "text", shown: int = SHOWN_TEXT, notes: tuple[str, ...] = ("bill_name", "speaker", "name", "party", "age", "committee")) -> DataFrame:
+    """(source, ref, notes, text) of results: the first reference that isn't empty, `name=value` of the fields that have
+    one, and the beginning of the text for display."""
+    ref = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in REFERENCES], F.lit(""))
+    bits = F.concat_ws(" | ", *[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in notes])
+    return results.withColumns({"_ref": ref, "_notes": bits}).select(F.coalesce("source", F.lit("?")).alias("source"), F.col("_ref").alias("ref"), F.col("_notes").alias("notes"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, shown).alias("text"))
+
+
+def embedded(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], prefix: str = "", dim: int = 1024) -> DataFrame:
+    """(key, vector) by a model that is passed in and runs on Arrow batches. The prefix stands before queries only; vectors
+    come out with length 1; null and empty texts get none."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            v = np.asarray(model([prefix + t for t in pdf[text]]), dtype=float).reshape(len(pdf), dim)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield pd.DataFrame({key: pdf[key], "vector": list(v.astype("float32"))})
+
+    return rows.where(F.col(text) != "").select(key, text).mapInPandas(run, f"`{key}` {kind}, vector array<float>")
+
+
+def contract_mismatches(recorded: dict | None, wanted: dict, optional: tuple[str, ...] = ()) -> list[str]:
+    """Keys of a wanted embedding contract, nested ones as `a.b`, that a recorded one lacks or has otherwise. Nothing recorded
+    is no mismatch; optional keys may be missing or null."""
+    if recorded is None:
+        return []
+
+    def flat(d, head=""):
+        for k, v in d.items():
+            if isinstance(v, dict):
+                yield from flat(v, f"{head}{k}.")
+            else:
+                yield f"{head}{k}", v
+
+    have, out = dict(flat(recorded)), []
+    for k, v in flat(wanted):
+        if have.get(k) is None and (k in optional or v is None):
+            continue
+        if k not in have:
+            out.append(f"{k}: missing, wanted {v!r}")
+        elif have[k] != v:
+            out.append(f"{k}: {have[k]!r}, wanted {v!r}")
+    return out

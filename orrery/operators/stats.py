@@ -36,8 +36,11 @@ def share_without(df: DataFrame, by: list[str], category: str, excluded: str = "
     """Counts per category, and percent shares whose denominator leaves one category out; its own share is 0."""
     n = df.where(F.col(category).isNotNull()).groupBy(*by, category).agg(F.count("*").alias("n"))
     counted = F.when(F.col(category) != excluded, F.col("n"))
-    total = F.sum(counted).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    return n.withColumn("pct", F.coalesce(F.try_divide(100.0 * counted, total), F.lit(0.0)))
+    if by:
+        n = n.withColumn("_total", F.sum(counted).over(Window.partitionBy(*by)))
+    else:  # one row, so no window pulls all groups into one task
+        n = n.crossJoin(F.broadcast(n.agg(F.sum(counted).alias("_total"))))
+    return n.withColumn("pct", F.coalesce(F.try_divide(100.0 * counted, F.col("_total")), F.lit(0.0))).drop("_total")
 
 
 def matrix(df: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
@@ -89,8 +92,8 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Confusion counts of two labels, and the rate of agreement over all rows that have both."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     n = both.groupBy(a, b).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(1))
-    return n.withColumn("rate", F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).over(w) / F.sum("n").over(w))
+    rate = n.agg((F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
+    return n.crossJoin(F.broadcast(rate))
 
 
 def annualised(n: Column, days: Column) -> Column:
@@ -101,3 +104,42 @@ def annualised(n: Column, days: Column) -> Column:
 def ema(values: Column, alpha: float = 0.3) -> Column:
     """Exponential mean of an array in its order; null for an empty one."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x.cast("double")).otherwise(alpha * x + (1 - alpha) * acc))
+
+
+def eta(values: Column, left: Column) -> Column:
+    """struct(low, high) of the seconds left: the exponential mean of the seconds per piece times the pieces left, with a
+    margin that narrows with the number of observations; null under five."""
+    n = F.size(values)
+    margin = F.when(n >= 50, 0.2).when(n >= 20, 0.35).otherwise(0.5)
+    mid = ema(values) * left
+    return F.when(n >= 5, F.struct((mid * (1 - margin)).alias("low"), (mid * (1 + margin)).alias("high")))
+
+
+def top_matrix(df: DataFrame, key: str, column: str, n: int, columns: list[str]) -> DataFrame:
+    """(key, total, a column per listed value) of the n most frequent keys, ties to the smaller; the keys are a table of n
+    rows, so the matrix is one more pass with a broadcast."""
+    top = top_by_count(df, key, n).withColumnRenamed("n", "total")
+    cells = df.join(F.broadcast(top), key).groupBy(key, "total").pivot(column, columns).agg(F.count(F.lit(1)))
+    return cells.na.fill(0)
+
+
+def gap_order(df: DataFrame, group: str, category: str, base: Column, excluded: str = "none") -> DataFrame:
+    """(category, mean_gap, groups): the mean absolute difference between each group's percent share of a category and the
+    share in the base rows; the mean is over all groups, and a category that a group lacks is 0 % there."""
+    share = share_without(df.where(~base), [group], category, excluded).where(F.col(category) != excluded)
+    ref = share_without(df.where(base), [], category, excluded).where(F.col(category) != excluded).select(category, F.col("pct").alias("base_pct"))
+    groups = df.where(~base & F.col(category).isNotNull()).select(group).distinct()
+    every = share.select(category).unionByName(ref.select(category)).distinct()
+    grid = every.crossJoin(F.broadcast(groups)).join(share.select(group, category, "pct"), [group, category], "left").join(ref, category, "left")
+    gap = F.abs(F.coalesce("pct", F.lit(0.0)) - F.coalesce("base_pct", F.lit(0.0)))
+    return grid.groupBy(category).agg(F.avg(gap).alias("mean_gap"), F.count("*").alias("groups"))
+
+
+def topic_stats(topics: DataFrame) -> DataFrame:
+    """(attr, group_id, label, total, members) of topics (attr, topic_id, group_id, group_label, label, count): members by
+    falling count, the group's label where several topics share it, else the topic's own. Groups are small lists."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "topic_id", "label", "count", "group_label"))), lambda m: m)
+    g = topics.groupBy("attr", "group_id").agg(F.sum("count").alias("total"), order.alias("m"))
+    named = F.get(F.filter("m", lambda m: F.coalesce(m["group_label"], F.lit("")) != ""), F.lit(0))["group_label"]
+    label = F.when(F.size("m") > 1, F.coalesce(named, F.col("m")[0]["label"])).otherwise(F.col("m")[0]["label"])
+    return g.select("attr", "group_id", label.alias("label"), "total", F.transform("m", lambda m: m["topic_id"]).alias("members"))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.retrieval import cosine
+from orrery.session import broadcast_checked
+
+# Rule and factor of the smallest cluster per attribute; the floor.
+SMALLEST = 8
+CLUSTER_RULES = {
+    "산업정책": ("sqrt", 0.5), "공익/소비자보호": ("log", 10), "국가안보": ("linear", 200), "노동/고용": ("cbrt", 3), "책임/윤리AI": ("sqrt", 0.6),
+    "시장경쟁/독과점": ("cbrt", 3), "국제협력": ("linear", 200), "선거/민주주의": ("log", 10), "AI안전": ("log", 15), "저작권/지식재산": ("linear", 200),
+}
+#: Centroids of two languages are aligned from this similarity on.
+ALIGN = 0.68
 
 
 def grams(tokens: Column, upto: int = 2) -> Column:
@@ -25,7 +35,7 @@ def tfidf(docs: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: fl
     n = docs.agg(F.count("*").alias("n"))
     vocabulary = t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     idf = vocabulary.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = t.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))  # max_features rows at most
+    w = t.join(broadcast_checked(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("raw") / length).alias("weight"))
 
@@ -62,7 +72,7 @@ def nearest_members(vectors: DataFrame, group: str, key: str, vector: str, cents
 def centroid_pairs(cents: DataFrame, group: str, least: float) -> DataFrame:
     """(a, b, similarity) of centroids at least so similar. The table has a row per topic, some hundreds at most."""
     a, b = cents.select(F.col(group).alias("a"), F.col("centroid").alias("ca")), cents.select(F.col(group).alias("b"), F.col("centroid").alias("cb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("ca"), F.col("cb")).alias("similarity")).where(F.col("similarity") >= least)
+    return a.join(broadcast_checked(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("ca"), F.col("cb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def greedy_pairs(pairs: list[tuple]) -> list[tuple]:
@@ -121,8 +131,61 @@ def topic_articles(topics: DataFrame, assignments: DataFrame, articles: DataFram
     return keys.join(a, "key").join(articles, "article_id").select("label", "article_id", "title").distinct()
 
 
-def min_cluster_size(n: int, rule: str = "sqrt") -> int:
-    return max(5, int({"sqrt": np.sqrt(n), "log": 10 * np.log10(max(n, 1)), "cbrt": 2 * np.cbrt(n)}[rule]))
+def min_cluster_size(n: Column, rule: str = "sqrt", factor: float = 0.6) -> Column:
+    """The smallest cluster of n rows: a factor times the root, cube root or decimal logarithm of n, rounded up, or one in
+    `factor` rows; never under SMALLEST."""
+    size = {
+        "sqrt": lambda: F.ceil(factor * F.sqrt(n)), "cbrt": lambda: F.ceil(factor * F.pow(n.cast("double"), F.lit(1 / 3))),
+        "log": lambda: F.ceil(factor * F.log10(F.greatest(n, F.lit(10)))), "linear": lambda: F.floor(n / factor),
+    }[rule]()
+    return F.greatest(F.lit(SMALLEST), size.cast("int"))
+
+
+def ctfidf(docs: DataFrame, group: str, tokens: Column, k: int = 10) -> DataFrame:
+    """(group, term, score, rank): the terms of a cluster taken as one text. Frequency in the cluster over its length, times
+    ln(1 + mean length / frequency in all); ties to the smaller term."""
+    t = docs.where(F.col(group).isNotNull()).select(group, F.explode(tokens).alias("term")).groupBy(group, "term").agg(F.count("*").alias("tf"))
+    size = t.groupBy(group).agg(F.sum("tf").alias("size"))
+    mean = size.agg(F.avg("size").alias("mean"))
+    every = t.groupBy("term").agg(F.sum("tf").alias("all"))
+    score = F.col("tf") / F.col("size") * F.log(1 + F.col("mean") / F.col("all"))
+    s = t.join(every, "term").join(broadcast_checked(size), group).crossJoin(F.broadcast(mean)).select(group, "term", score.alias("score"))
+    w = Window.partitionBy(group).orderBy(F.desc("score"), F.asc("term"))
+    return s.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+def density_topics(vectors: DataFrame, key: str, vector: str, topics: int, smallest: int, seed: int = 7) -> DataFrame:
+    """(key, topic): bisecting k-means on unit vectors, an approximation of density clustering. Clusters of fewer than
+    `smallest` rows are outliers, topic -1, as a density method leaves sparse rows out."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    rows = Normalizer(inputCol="_v", outputCol="_u").transform(rows).persist()
+    found = BisectingKMeans(k=topics, featuresCol="_u", predictionCol="_c", seed=seed, minDivisibleClusterSize=float(2 * smallest)).fit(rows).transform(rows).select(key, "_c")
+    n = found.groupBy("_c").agg(F.count("*").alias("n"))  # a row per topic
+    return found.join(F.broadcast(n), "_c").select(key, F.when(F.col("n") >= smallest, F.col("_c")).otherwise(-1).alias("topic"))
+
+
+def aligned(cents: DataFrame, group: str, side: Column, threshold: float = ALIGN) -> list[tuple]:
+    """(a, b, similarity) of centroids of two sides, one to one by falling similarity from the threshold on. The tables have
+    a row per topic, some hundreds at most."""
+    rows = cents.withColumn("_side", side)
+    a, b = (rows.where(F.col("_side") == x).select(F.col(group).alias(n), F.col("centroid").alias(f"c{n}")) for x, n in ((True, "a"), (False, "b")))
+    s = a.join(broadcast_checked(b), F.lit(True)).select("a", "b", cosine(F.col("ca"), F.col("cb")).alias("s")).where(F.col("s") >= threshold)
+    return greedy_pairs([tuple(r) for r in s.collect()])
+
+
+def curate_all(topics: DataFrame, drops: DataFrame, labels: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topics, deltas): dropped and relabelled topics, then fields replaced by (attr, topic_id, field, value) overrides of
+    `label` and `group_label`; deltas has per attribute how many topics and rows were dropped."""
+    kept = curate(topics, drops, labels)
+    for field in ("label", "group_label"):
+        new = overrides.where(F.col("field") == field).groupBy("attr", "topic_id").agg(F.max("value").alias("_new"))
+        kept = kept.join(new, ["attr", "topic_id"], "left").withColumn(field, F.coalesce("_new", field)).drop("_new")
+    gone = topics.join(drops.select("attr", "topic_id").distinct(), ["attr", "topic_id"], "left_semi").where("topic_id <> -1")
+    return kept, gone.groupBy("attr").agg(F.count("*").alias("topics"), F.sum("count").alias("rows"))
 
 
 def lda(docs: DataFrame, key: str, tokens: str, topics: int = 10, seed: int = 42, iterations: int = 50):
@@ -131,13 +194,15 @@ def lda(docs: DataFrame, key: str, tokens: str, topics: int = 10, seed: int = 42
     a term come out with a null topic."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
 
     cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=2, vocabSize=2**31 - 1).fit(docs)
     model = LDA(k=topics, featuresCol="_tf", seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs).persist())
-    argmax = F.udf(lambda v: int(v.argmax()) if v.toArray().any() else None, "int")
+    mix = vector_to_array("topicDistribution")
+    strongest = F.when(F.exists(mix, lambda x: x != 0), F.array_position(mix, F.array_max(mix)).cast("int") - 1)
     terms = cv.vocabulary
     words = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("at", "i"))
     used = sorted({r.i for r in words.select("i").distinct().collect()})
     names = F.create_map(*[F.lit(x) for i in used for x in (i, terms[i])])
     ordered = words.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("at", F.element_at(names, F.col("i")).alias("w")))).alias("w"))
-    return model.transform(cv.transform(docs)).select(key, argmax("topicDistribution").alias("topic")), ordered.select("topic", F.col("w.w").alias("words"))
+    return model.transform(cv.transform(docs)).select(key, strongest.alias("topic")), ordered.select("topic", F.col("w.w").alias("words"))

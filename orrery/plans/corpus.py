@@ -52,7 +52,7 @@ def h3_all_chunks(spark, d):
 
 def h5_not_indexed(spark, d):
     c = table(spark, d, "chunks").where("chunk_id is not null")
-    return H.not_indexed(c, c, "e1-64").select("chunk_id", F.length("text").alias("n"))
+    return H.not_indexed(c, c.where("chunk_idx % 2 = 0"), "e1-64").select("chunk_id", F.length("text").alias("n"))
 
 
 def h7_export_counts(spark, d):
@@ -97,7 +97,9 @@ def r4_sub_corpora(spark, d):
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents").where("doc_id is not null").withColumn("src", F.coalesce(F.lower(F.trim("source")), F.lit("")))
-    return V.Bm25Index(docs, "doc_id", "text", F.col("src"))
+    # The folder is named after the files, so an index is built once for as long as they stay as they are.
+    digest = Q.storage_fingerprint(spark, f"{d}/documents.parquet").first()["digest"]
+    return V.Bm25Index.build(docs, "doc_id", "text", F.col("src"), f"{V.shared_folder(spark)}/bm25-{digest}")
 
 
 def r5_bm25(spark, d):
@@ -135,7 +137,7 @@ def m3_weights(spark, d):
 
 def m4_attributes(spark, d):
     k = spark.createDataFrame(KEYWORDS, "attr string, keyword string")
-    return M.best_attribute(M.keyword_scores(m3_tfidf(spark, d), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
+    return M.best_attribute(M.keyword_scores(m3_tfidf(spark, d).persist(), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
 
 
 def m3_corpus_tfidf(spark, d):
@@ -150,7 +152,7 @@ def m3_corpus_weights(spark, d):
 
 def m4_corpus_attributes(spark, d):
     k = spark.createDataFrame(CORPUS_KEYWORDS, "attr string, keyword string")
-    return M.best_attribute(M.keyword_scores(m3_corpus_tfidf(spark, d), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
+    return M.best_attribute(M.keyword_scores(m3_corpus_tfidf(spark, d).persist(), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
 
 
 def m5_lda(spark, d):
@@ -226,7 +228,7 @@ SQL = {
     "h3_bill_chunks": "WITH both_ AS (SELECT DISTINCT bill_id, 'reason' AS sub, reason_and_content AS body FROM bill_text UNION ALL SELECT DISTINCT bill_id, 'full', full_text FROM bill_text), src AS (SELECT *, row_number() OVER () AS rid FROM both_), " + _WIN.format(keys="rid, bill_id, sub", part="rid") + " SELECT DISTINCT substr(sha256(CASE WHEN bill_id IS NULL THEN NULL ELSE 'bill:' || bill_id || ':' || sub || ':' || chunk_idx || ':' || substr(text, 1, 80) END), 1, 16) AS chunk_id, sub AS sub_source, bill_id AS ref_id, chunk_idx FROM c",
     "h3_bill_cards": f"WITH t AS (SELECT bill_id, concat_ws(E'\\n', '법안명: ' || {_V('bill_name')}, CASE WHEN age <> 0 THEN '대수: ' || age || '대' END, '발의자: ' || coalesce(nullif(proposer, ''), {_V('lead_proposer')}), '위원회: ' || {_V('committee')}, '제안일: ' || {_V('propose_date')}, '처리결과: ' || {_V('proc_result')}) AS text FROM v_bill) SELECT DISTINCT substr(sha256('bill_meta:' || bill_id || ':' || substr(text, 1, 80)), 1, 16) AS chunk_id, bill_id AS ref_id, md5(text) AS digest FROM t",
     "h3_member_cards": "WITH t AS (SELECT mona_cd, concat_ws(E'\\n', " + ", ".join(f"CASE WHEN {c} <> '' THEN '{k}: ' || {c} END" for k, c in (("이름", "name"), ("정당", "party"), ("지역구", "district"), ("위원회", "committee"), ("당선횟수", "reelect"), ("역대대수", "terms_list"), ("성별", "gender"))) + ") AS text FROM v_member) SELECT substr(sha256('member:' || mona_cd || ':' || substr(text, 1, 80)), 1, 16) AS chunk_id, mona_cd AS ref_id, text FROM t WHERE text <> ''",
-    "h5_not_indexed": "SELECT chunk_id, length(min(text)) AS n FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE embed_config_ver = 'e1-64' AND chunk_id IS NOT NULL) GROUP BY 1",
+    "h5_not_indexed": "SELECT chunk_id, length(min(text)) AS n FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE embed_config_ver = 'e1-64' AND chunk_idx % 2 = 0 AND chunk_id IS NOT NULL) GROUP BY 1",
     "h7_export_counts": "SELECT source, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, count(*) FILTER (NOT (text IS NULL OR trim(text) = '')) AS kept, count(DISTINCT chunk_id) FILTER (NOT (text IS NULL OR trim(text) = '')) AS ids FROM chunks GROUP BY 1",
     "g20_length_histogram": "SELECT CASE " + " ".join(f"WHEN length(text) <= {e} THEN '<={e}'" for e in (200, 400, 600, 800, 1000, 1500, 2000)) + " ELSE '>2000' END AS bucket, count(*) AS n, avg(length(text)) AS mean, max(length(text)) AS longest FROM chunks WHERE text IS NOT NULL GROUP BY 1",
     "g21_norms": "SELECT min(x) AS least, avg(x) AS mean, max(x) AS most FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings)",

@@ -1,8 +1,8 @@
 """All registered queries of the core, with the SQL each is checked against."""
 
-from orrery.plans import bills, corpus, integrity, news, surface
+from orrery.plans import bills, corpus, derived, integrity, news, surface
 
-MODULES = [integrity, news, bills, corpus, surface]
+MODULES = [integrity, news, bills, corpus, derived, surface]
 FLAGSHIP = "c_pipeline"
 
 

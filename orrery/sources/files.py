@@ -66,13 +66,32 @@ def binary_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", document_format(F.col("content")).alias("format"))
 
 
+# Words that begin a division of a law, and words that an amendment's target begins with.
+DIVISIONS = ("CHAPTER", "TITLE", "SECTION", "ANNEX")
+TARGETS = ("Article", "Recital", "Annex", "Citation", "Title", "Chapter")
+
+
 def articles_of(text: Column) -> Column:
     """Array of (num, title, text) of the `Article N` blocks of a law: a line with the number, a title line, the text up to the
-    next heading, cut to 5,000 characters."""
-    at = F.regexp_extract_all(text, F.lit(r"(?s)(?<![^\n])Article\s+\d+\s*\n\s*.+?(?=\nArticle\s+\d+\s*\n|\nCHAPTER\s|\nTITLE\s|\nSECTION\s|\nANNEX|\z)"), F.lit(0))
-    num = lambda b: F.regexp_extract(b, r"^Article\s+(\d+)", 1).cast("int")
-    body = lambda b: F.trim(F.regexp_replace(b, r"^Article\s+\d+\s*\n\s*", ""))
-    return F.transform(at, lambda b: F.struct(num(b).alias("num"), F.trim(F.substring_index(body(b), "\n", 1)).alias("title"), F.substring(F.trim(F.regexp_replace(body(b), r"^[^\n]*\n?", "")), 1, 5000).alias("text")))
+    next heading, cut to 5,000 characters. The text is cut before every heading line, and each block is read by lines."""
+    heading = r"(?m)^(?=Article\s+\d+[^\S\n]*$|(?:" + "|".join(DIVISIONS) + r")\b)"
+    blocks = F.filter(F.split(text, heading), lambda b: b.rlike(r"^Article\s+\d+[^\S\n]*\n"))
+
+    def article(b):
+        lines = F.split(b, "\n")
+        rest = F.slice(lines, 2, F.size(lines))
+        # Blank lines between the number and the title don't count.
+        lead = F.array_position(F.transform(rest, lambda x: F.trim(x) != ""), True).cast("int")
+        at = F.when(lead > 0, lead).otherwise(F.size(rest) + 1)
+        body = F.array_join(F.slice(rest, at + 1, F.size(rest) + 1), "\n")
+        num = F.regexp_extract(F.element_at(lines, 1), r"(\d+)", 1).cast("int")
+        return F.struct(num.alias("num"), F.coalesce(F.trim(F.get(rest, at - 1)), F.lit("")).alias("title"), F.substring(F.trim(body, F.lit(" \n\r\t")), 1, 5000).alias("text"))
+
+    return F.transform(blocks, article)
+
+
+#: A target word, its number and, behind a dash, a paragraph.
+_TARGET = rf"(?:{'|'.join(TARGETS)})\s*\w*(?:\s*[–-]\s*paragraph\s*\d+)?"
 
 
 def amendments_of(text: Column) -> Column:
@@ -85,7 +104,7 @@ def amendments_of(text: Column) -> Column:
         lambda acc, b: F.when(F.exists(acc, lambda s: s["num"] == num(b)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["num"].alias("num"), F.concat(F.element_at(acc, -1)["body"], b).alias("body")))))
         .otherwise(F.concat(acc, F.array(F.struct(num(b).alias("num"), b.alias("body"))))),
     )
-    target = lambda b: F.coalesce(F.nullif(F.trim(F.regexp_extract(F.substring(b, 1, 500), r"(?:Article|Recital|Annex|Citation|Title|Chapter)\s*\w*(?:\s*[–-]\s*paragraph\s*\d+)?", 0)), F.lit("")), F.lit("unknown"))
+    target = lambda b: F.coalesce(F.nullif(F.trim(F.regexp_extract(F.substring(b, 1, 500), _TARGET, 0)), F.lit("")), F.lit("unknown"))
     return F.transform(fresh, lambda s: F.struct(s["num"].alias("num"), target(s["body"]).alias("target"), F.substring(F.trim(F.regexp_replace(F.trim(s["body"]), r"^[^\n]*\n?", "")), 1, 3000).alias("text")))
 
 
@@ -131,3 +150,17 @@ def write_markdown(df: DataFrame, path: str, group: str, item: str) -> None:
                 now = g
             f.write(f"- {x}\n")
         f.write("\n")
+
+
+def json_whole(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """Files that hold one JSON value each, or None where there are none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not spark._jvm.org.apache.hadoop.fs.FileSystem.get(p.toUri(), spark._jsc.hadoopConfiguration()).globStatus(p):
+        return None
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def parquet_rows(spark: SparkSession, path: str) -> int:
+    """Rows of Parquet files by a glob. No column is read, so the counts come from the files' footers."""
+    return spark.read.parquet(path).count()
