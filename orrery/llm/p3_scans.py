@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.counts import Table, pruned, tallied
+from orrery.llm.once import once
 
 #: n-gram counts are exact; n-grams that make up less than this share of all of their order count as unseen, so there are
 #: four million others at most, whatever the corpus.
@@ -443,4 +444,4 @@ def paragraphs(texts: DataFrame) -> DataFrame:
     """(item_table, item_key, text, disturbed): continuous paragraphs without page furniture, cut words joined, wrong
     characters corrected, and the number of findings."""
     g = statistics(texts)
-    return texts.dropDuplicates(["item_table", "item_key", "text"]).mapInPandas(_found(g, True), _ROWS).select("item_table", "item_key", "text", "disturbed")
+    return once(texts, ["item_table", "item_key"], "text").mapInPandas(_found(g, True), _ROWS).select("item_table", "item_key", "text", "disturbed")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.once import once
+
 LIMIT = 1500
 OVERLAP = 200
 
@@ -135,7 +137,7 @@ def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversiz
     if oversized_only:
         src = src.where(F.length("text") > limit)
     src = src.select("item_table", "item_key", "text")
-    return (src.distinct() if unique else src).mapInPandas(_cut(limit, overlap, oversized_only, with_text), _PIECES)
+    return (once(src, ["item_table", "item_key"], "text") if unique else src).mapInPandas(_cut(limit, overlap, oversized_only, with_text), _PIECES)
 
 
 def items(bill_text: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
