@@ -133,11 +133,6 @@ def w6_keep_latest(spark, d):
     return R.keep_latest(b, ["bill_name", "first_name"], "propose_date", "bill_id").select("bill_id")
 
 
-def w7_keep_longest(spark, d):
-    t = _t(spark, d, "bill_text").where("bill_id is not null and full_text is not null").select("bill_id", F.length("full_text").alias("n"), "age")
-    return R.keep_first(t, ["age"], F.col("n").desc(), F.col("bill_id").asc()).select("age", "bill_id", "n")
-
-
 def g10_share(spark, d):
     return S.share_without(_labels(spark, d), [], "attr")
 
@@ -200,19 +195,9 @@ def a17_title_keyword(spark, d):
     return _t(spark, d, "news_articles").where(X.title_has_keyword(F.col("title"))).select("news_id", "ingested_at")
 
 
-def a18_prompt(spark, d):
-    t = _t(spark, d, "bill_classifications")
-    return t.select("bill_id", "classified_at", X.prompt_text(F.col("title"), F.col("secondary_attr"), 12).alias("prompt"))
-
-
-def a19_candidates(spark, d):
-    t = _t(spark, d, "bill_text").select("bill_id", F.coalesce(F.nullif("reason_and_content", F.lit("")), "full_text").alias("body"))
-    return t.where(X.mentions(F.col("body")) >= 3).select("bill_id", X.mentions(F.col("body")).cast("int").alias("n")).distinct()
-
-
 QUERIES = {f.__name__: f for f in (
     p1_views, view_vote_days, vote_summary, keep_latest_bill, j1_votes_members, j2_residual, j3_text_of_bills, j4_todo, g12_latest_version, j5_semi, j6_computed_key, j8_defaults, j9_parties, j11_reconcile, j14_bill_view, p9_where_dict, p11_party_chain,
-    k1_replace_tasks, k5_conditional_upsert, w6_keep_latest, w7_keep_longest, g10_share, g10_share_by_source, g13_coverage, g16_top_laws, g17_gaps, g24_agreement, g25_leaders, g25_committees, g27_values, a1_terms, a4_term_of_date, a6_clean_columns, a14_base_law, a17_title_keyword, a18_prompt, a19_candidates,
+    k1_replace_tasks, k5_conditional_upsert, w6_keep_latest, g10_share, g10_share_by_source, g13_coverage, g16_top_laws, g17_gaps, g24_agreement, g25_leaders, g25_committees, g27_values, a1_terms, a4_term_of_date, a6_clean_columns, a14_base_law, a17_title_keyword,
 )}
 # Names that begin with pN_ are kept for the training-data problems.
 QUERIES = {{"p1_views": "v_bill_typed", "p9_where_dict": "where_dict", "p11_party_chain": "party_fallback"}.get(k, k): f for k, f in QUERIES.items()}
@@ -253,7 +238,6 @@ SQL = {
     "k1_replace_tasks": "SELECT age::VARCHAR AS task, count(*) AS n, count(*) FILTER (age = 22) AS n_new FROM v_bill WHERE age IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, count(*), 0 FROM v_bill WHERE age IS NULL HAVING count(*) > 0",
     "k5_conditional_upsert": "WITH o AS (SELECT doc_id, source, title, length(full_text) AS c FROM document_text WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY fetched_at NULLS LAST, status NULLS LAST, length(full_text) NULLS LAST) = 1) SELECT doc_id, source, CASE WHEN length(title) % 2 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN length(title) % 3 = 0 THEN 'neu' ELSE title END AS title, CASE WHEN length(title) % 2 = 0 THEN c ELSE 7 END AS chars FROM o",
     "w6_keep_latest": f"WITH {_BILLS} SELECT bill_id FROM bills QUALIFY row_number() OVER (PARTITION BY bill_name, trim(string_split(proposer, ',')[1]) ORDER BY propose_date DESC NULLS LAST, bill_id) = 1",
-    "w7_keep_longest": "SELECT age, bill_id, length(full_text) AS n FROM bill_text WHERE bill_id IS NOT NULL AND full_text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY age ORDER BY length(full_text) DESC, bill_id) = 1",
     "g10_share": f"WITH {_LABELS}, src AS (SELECT * FROM labels), " + _SHARE.format(by="", over="") + " SELECT attr, n, pct FROM out",
     "g10_share_by_source": f"WITH {_LABELS}, src AS (SELECT * FROM labels), " + _SHARE.format(by="source,", over="PARTITION BY source") + " SELECT source, attr, n, pct FROM out",
     "g13_coverage": f"WITH {_BILLS} SELECT count(*) AS total, count(*) FILTER ({K} IN (SELECT {K.replace('bill_id', 'c.bill_id')} FROM bill_classifications c WHERE c.bill_id IS NOT NULL)) AS done, coalesce(100.0::DOUBLE * done / nullif(total, 0), 0) AS pct FROM bills",
@@ -268,6 +252,4 @@ SQL = {
     "a6_clean_columns": "SELECT nullif(trim(bill_id), '') AS bill_id, nullif(trim(title), '') AS title FROM bill_classifications",
     "a14_base_law": f"WITH {_BILLS}, l AS (SELECT bill_id, {_LAW} AS law FROM bills) SELECT bill_id, law, {_SHORT} AS short FROM l",
     "a17_title_keyword": r"SELECT news_id, ingested_at FROM news_articles WHERE regexp_matches(title, '(?i)\bAI\b|artificial intelligence|\bA\.I\.|인공지능')",
-    "a18_prompt": "SELECT bill_id, classified_at, '법안명: ' || coalesce(title, '') || E'\\n\\n' || substr(coalesce(secondary_attr, ''), 1, 12) AS prompt FROM bill_classifications",
-    "a19_candidates": r"WITH t AS (SELECT bill_id, coalesce(nullif(reason_and_content, ''), full_text) AS body FROM bill_text), n AS (SELECT bill_id, (len(regexp_extract_all(body, '인공\s*지능')) + len(list_filter(regexp_extract_all(body, '[A-Za-z]+'), lambda x: x = 'AI')) + len(regexp_extract_all(body, 'A\.I\.?')))::INT AS n FROM t) SELECT DISTINCT bill_id, n FROM n WHERE n >= 3",
 }

@@ -90,11 +90,6 @@ def r3_ascii_tokens(spark, d):
     return t.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-def r4_sub_corpora(spark, d):
-    c = table(spark, d, "chunks")
-    return c.groupBy(V.sub_corpus(F.col("source"), F.col("doc_source"), F.col("chunk_id")).alias("sub_id")).agg(F.count("*").alias("n"))
-
-
 def _bm25(spark, d):
     docs = table(spark, d, "documents").where("doc_id is not null").withColumn("src", F.coalesce(F.lower(F.trim("source")), F.lit("")))
     # The folder is named after the files, so an index is built once for as long as they stay as they are.
@@ -126,31 +121,17 @@ def r13_stats(spark, d):
     return V.Search(table(spark, d, "chunks")).stats("e1-64")
 
 
-def m3_tfidf(spark, d):
-    docs = table(spark, d, "documents").where("lower(trim(lang)) = 'en' and text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})")), lambda x: F.lower(x)).alias("words"))
-    return M.tfidf(docs, "doc_id", M.grams(F.col("words"), 2), min_df=2, max_df=0.95, max_features=500)
-
-
-def m3_weights(spark, d):
-    return m3_tfidf(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
-
-
-def m4_attributes(spark, d):
-    k = spark.createDataFrame(KEYWORDS, "attr string, keyword string")
-    return M.best_attribute(M.keyword_scores(m3_tfidf(spark, d).persist(), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
-
-
 def m3_corpus_tfidf(spark, d):
     """Of all documents, whatever their language, in words of two letters or more of any script."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,})")), lambda x: F.lower(x)).alias("words"))
     return M.tfidf(docs, "doc_id", M.grams(F.col("words"), 2), min_df=2, max_df=0.95, max_features=10_000)
 
 
-def m3_corpus_weights(spark, d):
+def m3_weights(spark, d):
     return m3_corpus_tfidf(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
-def m4_corpus_attributes(spark, d):
+def m4_attributes(spark, d):
     k = spark.createDataFrame(CORPUS_KEYWORDS, "attr string, keyword string")
     return M.best_attribute(M.keyword_scores(m3_corpus_tfidf(spark, d).persist(), "doc_id", k), "doc_id").select("doc_id", "attr", F.round("score", 9).alias("score"))
 
@@ -196,14 +177,9 @@ def d7_uncastable(spark, d):
     return Q.uncastable(table(spark, d, "v_vote"), "vote_date", "int")
 
 
-def d8_ingest_report(spark, d):
-    c = table(spark, d, "chunks")
-    return Q.ingest_report(c, c.select("chunk_id", "vector"), 64).select("duplicates", "wrong_dim", "not_finite", "missing", "orphans")
-
-
 QUERIES = {f.__name__: f for f in (
-    h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r1_knn_batch, r3_ascii_tokens, r4_sub_corpora, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
-    m3_weights, m4_attributes, m3_corpus_weights, m4_corpus_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_bill_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable, d8_ingest_report,
+    h1_char_chunks, h2_speaker_chunks, h3_bill_chunks, h3_bill_cards, h3_member_cards, h3_all_chunks, h5_not_indexed, h7_export_counts, g20_length_histogram, g21_norms, r1_knn, r1_knn_batch, r3_ascii_tokens, r5_bm25, r7_rrf, r10_hybrid, r13_stats,
+    m3_weights, m4_attributes, m5_lda, g23_centroids, m10_nearest, j12_centroid_pairs, g18_fingerprint, g18_bill_fingerprint, g18_native_fingerprint, d3_touched, d7_uncastable,
 )}
 
 _WIN = """w AS (SELECT {keys}, i, body AS whole, CASE WHEN length(body) <= 1500 THEN body ELSE substr(body, i * 600 + 1, 800) END AS text
@@ -235,14 +211,11 @@ SQL = {
     "r1_knn": f"WITH {_KNN} SELECT vec_id, round(score, 9) AS score, rank::INT AS rank FROM knn",
     "r1_knn_batch": f"WITH s AS (SELECT query, vec_id, {_COS} AS score FROM (SELECT q.vec_id AS query, e.vec_id, e.embedding::DOUBLE[] AS a, q.embedding::DOUBLE[] AS b FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)), t AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) - 1)::INT AS rank FROM s) SELECT query, vec_id, round(score, 9) AS score, rank FROM t WHERE rank < 30",
     "r3_ascii_tokens": "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_/.\\-]+'))) AS token FROM documents) GROUP BY 1",
-    "r4_sub_corpora": "SELECT CASE WHEN source = 'document' THEN CASE WHEN doc_source = 'minutes_committee' THEN 'doc_minutes_committee_' || ((strpos('0123456789abcdef', lower(substr(chunk_id, 1, 1))) - 1) % 4) ELSE 'doc_' || doc_source END ELSE source END AS sub_id, count(*) AS n FROM chunks GROUP BY 1",
     "r5_bm25": f"WITH {_TOK}, post AS (SELECT sub_id, id, token, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT sub_id, id, sum(tf) AS dl FROM post GROUP BY ALL), st AS (SELECT sub_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY 1), df AS (SELECT sub_id, token, count(*) AS df FROM post GROUP BY ALL), s AS (SELECT sub_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM post JOIN df USING (sub_id, token) JOIN st USING (sub_id) JOIN dl USING (sub_id, id) WHERE token IN ({', '.join(repr(t) for t in TERMS)}) GROUP BY ALL), best AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY score DESC, id) <= 30) SELECT id, sub_id, round(score, 8) AS score, (row_number() OVER (ORDER BY score DESC, id) - 1)::INT AS rank FROM best ORDER BY score DESC, id LIMIT 30",
     "r7_rrf": f"WITH {_KNN}, l AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM (SELECT * FROM embeddings WHERE label IS NOT NULL ORDER BY label, vec_id LIMIT 30)), j AS (SELECT coalesce(a.vec_id, b.vec_id) AS id, a.rank AS r1, b.rank AS r2 FROM knn a FULL JOIN l b ON a.vec_id = b.vec_id), s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) AS score FROM j) SELECT id, round(score, 12) AS score, (row_number() OVER (ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) - 1)::INT AS rank FROM s",
     "r13_stats": "SELECT source, count(*) AS n FROM chunks WHERE embed_config_ver = 'e1-64' GROUP BY 1",
-    "m3_weights": f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights",
-    "m4_attributes": f"WITH {_TFIDF}, k(attr, keyword) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS) + "), f AS (SELECT attr, keyword AS term, 2.0 AS factor FROM k WHERE keyword IN (SELECT term FROM weights) UNION ALL SELECT attr, unnest(string_split(keyword, ' ')), 0.5 FROM k WHERE keyword NOT IN (SELECT term FROM weights) AND contains(keyword, ' ')), s AS (SELECT doc_id, attr, sum(weight * factor) AS score FROM weights JOIN f USING (term) GROUP BY 1, 2) SELECT doc_id, attr, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attr DESC) = 1",
-    "m3_corpus_weights": f"WITH {_CORPUS_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights",
-    "m4_corpus_attributes": f"WITH {_CORPUS_TFIDF}, k(attr, keyword) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CORPUS_KEYWORDS) + "), f AS (SELECT attr, keyword AS term, 2.0 AS factor FROM k WHERE keyword IN (SELECT term FROM weights) UNION ALL SELECT attr, unnest(string_split(keyword, ' ')), 0.5 FROM k WHERE keyword NOT IN (SELECT term FROM weights) AND contains(keyword, ' ')), s AS (SELECT doc_id, attr, sum(weight * factor) AS score FROM weights JOIN f USING (term) GROUP BY 1, 2) SELECT doc_id, attr, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attr DESC) = 1",
+    "m3_weights": f"WITH {_CORPUS_TFIDF} SELECT doc_id, term, round(weight, 9) AS weight FROM weights",
+    "m4_attributes": f"WITH {_CORPUS_TFIDF}, k(attr, keyword) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CORPUS_KEYWORDS) + "), f AS (SELECT attr, keyword AS term, 2.0 AS factor FROM k WHERE keyword IN (SELECT term FROM weights) UNION ALL SELECT attr, unnest(string_split(keyword, ' ')), 0.5 FROM k WHERE keyword NOT IN (SELECT term FROM weights) AND contains(keyword, ' ')), s AS (SELECT doc_id, attr, sum(weight * factor) AS score FROM weights JOIN f USING (term) GROUP BY 1, 2) SELECT doc_id, attr, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, attr DESC) = 1",
     "g23_centroids": f"WITH {_CENT} SELECT label, i::INT AS i, round(m, 9) AS x FROM cells",
     "m10_nearest": f"WITH {_CENT}, e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), dd AS (SELECT e.label, vec_id, sqrt(sum((v - m) * (v - m))) AS distance FROM e JOIN cells USING (label, i) GROUP BY 1, 2) SELECT label, vec_id, round(distance, 8) AS distance FROM dd QUALIFY row_number() OVER (PARTITION BY label ORDER BY dd.distance, vec_id) <= 5",
     "j12_centroid_pairs": f"WITH {_CENT} SELECT x.label AS a, y.label AS b, round(sum(x.m * y.m) / (sqrt(sum(x.m * x.m)) * sqrt(sum(y.m * y.m))), 8) AS similarity FROM cells x JOIN cells y ON x.i = y.i AND x.label < y.label GROUP BY 1, 2",
@@ -250,5 +223,4 @@ SQL = {
     "g18_bill_fingerprint": "WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in _V_BILL) + ")), 1, 15))::BIGINT AS h FROM v_bill) SELECT count(*) AS n, bit_xor(h) AS xor, sum(h::DECIMAL(38, 0)) AS total FROM h",
     "d3_touched": "SELECT count(*) AS n FROM news_articles WHERE ingested_at >= TIMESTAMP '2022-01-01'",
     "d7_uncastable": "SELECT vote_date AS value, count(*) AS n FROM v_vote WHERE vote_date IS NOT NULL AND NOT regexp_matches(vote_date, '^\\d{1,9}$') GROUP BY 1",
-    "d8_ingest_report": "WITH e AS (SELECT chunk_id, vector, len(vector) = 64 AS dim, len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AS fin FROM chunks) SELECT count(chunk_id) - count(DISTINCT chunk_id) AS duplicates, count(*) FILTER (vector IS NOT NULL AND NOT dim) AS wrong_dim, count(*) FILTER (dim AND NOT fin) AS not_finite, (SELECT count(*) FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks x WHERE x.chunk_id = c.chunk_id AND x.vector IS NOT NULL)) AS missing, 0 AS orphans FROM e",
 }

@@ -362,12 +362,61 @@ def a16_file_names(spark, d):
 WITH t AS (SELECT DISTINCT c.bill_id, title, b.body FROM bill_classifications c LEFT JOIN (SELECT bill_id, max(coalesce(nullif(reason_and_content, ''), full_text)) AS body FROM bill_text GROUP BY 1) b USING (bill_id))
 SELECT bill_id, title, md5('법안명: ' || coalesce(title, '') || E'\\n\\n' || substr(coalesce(body, ''), 1, 2000)) AS prompt FROM t
 """)
-def a18_prompt_bodies(spark, d):
+def a18_prompt(spark, d):
     t = table(spark, d, "bill_text").groupBy("bill_id").agg(F.max(F.coalesce(F.nullif("reason_and_content", F.lit("")), "full_text")).alias("body"))
     c = table(spark, d, "bill_classifications").select("bill_id", "title").distinct().join(t, "bill_id", "left")
     return c.select("bill_id", "title", F.md5(X.prompt_text(F.col("title"), F.col("body"), 2000)).alias("prompt"))
 
 
+@query(r"""
+WITH b AS (SELECT bill_id, max(bill_name) AS name FROM v_bill WHERE bill_id IS NOT NULL GROUP BY 1),
+t AS (SELECT DISTINCT t.bill_id, coalesce(b.name, '') || ' ' || coalesce(nullif(reason_and_content, ''), full_text) AS body FROM bill_text t LEFT JOIN b USING (bill_id)),
+n AS (SELECT bill_id, (len(regexp_extract_all(body, '인공\s*지능')) + len(list_filter(regexp_extract_all(body, '[A-Za-z]+'), lambda x: x = 'AI')) + len(regexp_extract_all(body, 'A\.I\.?')))::INT AS n FROM t)
+SELECT DISTINCT bill_id, n FROM n WHERE n >= 3
+""")
+def a19_candidates(spark, d):
+    """Bills whose name and text mention the subject three times or more."""
+    b = table(spark, d, "v_bill").where("bill_id is not null").groupBy("bill_id").agg(F.max("bill_name").alias("name"))
+    t = table(spark, d, "bill_text").join(b, "bill_id", "left")
+    body = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce(F.nullif("reason_and_content", F.lit("")), "full_text"))
+    return t.select("bill_id", X.mentions(body).cast("int").alias("n")).where("n >= 3").distinct()
+
+
+@query("SELECT age, bill_id, length(full_text) AS n FROM bill_text WHERE bill_id IS NOT NULL AND full_text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY age ORDER BY length(full_text) DESC, bill_id) = 1")
+def w7_keep_longest(spark, d):
+    t = table(spark, d, "bill_text").where("bill_id is not null and full_text is not null")
+    return R.keep_longest(t.select("age", "bill_id", "full_text"), ["age"], "full_text", "bill_id").select("age", "bill_id", F.length("full_text").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT chunk_id, CASE WHEN chunk_idx % 4 = 1 THEN vector[1:10] ELSE vector END AS vector FROM chunks WHERE chunk_idx % 4 < 3
+  UNION ALL SELECT 'x' || chunk_id, vector FROM chunks WHERE chunk_idx = 0),
+v AS (SELECT *, len(vector) = 64 AS dim, len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AS fin FROM e)
+SELECT count(chunk_id) - count(DISTINCT chunk_id) AS duplicates, count(*) FILTER (vector IS NOT NULL AND NOT dim) AS wrong_dim, count(*) FILTER (dim AND NOT fin) AS not_finite,
+  (SELECT count(*) FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.chunk_id = c.chunk_id AND e.vector IS NOT NULL)) AS missing,
+  (SELECT count(*) FROM e WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = e.chunk_id)) AS orphans FROM v
+""")
+def d8_ingest_report(spark, d):
+    """Chunks against embeddings of which some are missing, some too short, and some of no chunk."""
+    c = table(spark, d, "chunks")
+    e = c.where("chunk_idx % 4 < 3").select("chunk_id", F.when(F.col("chunk_idx") % 4 == 1, F.slice("vector", 1, 10)).otherwise(F.col("vector")).alias("vector"))
+    e = e.unionByName(c.where("chunk_idx = 0").select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "vector"))
+    return Q.ingest_report(c, e, 64).select("duplicates", "wrong_dim", "not_finite", "missing", "orphans")
+
+
+@query(r"""
+WITH tok AS (SELECT CASE WHEN source = 'document' THEN CASE WHEN doc_source = 'minutes_committee' THEN 'doc_minutes_committee_' || ((strpos('0123456789abcdef', lower(substr(chunk_id, 1, 1))) - 1) % 4) ELSE 'doc_' || doc_source END ELSE source END AS sub_id,
+  chunk_id AS id, lower(unnest(list_concat(regexp_extract_all(text, '[\p{L}\p{N}]+'), regexp_extract_all(text, '[A-Za-z0-9_/.\-]+')))) AS token FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)
+SELECT sub_id, count(DISTINCT id) AS docs, count(DISTINCT token) AS tokens, count(DISTINCT (id, token)) AS postings FROM tok GROUP BY 1
+""")
+def r4_sub_corpora(spark, d):
+    """The stored index of the chunks, by sub-corpus."""
+    digest = Q.storage_fingerprint(spark, f"{d}/chunks.parquet").first()["digest"]
+    sub = V.sub_corpus(F.col("source"), F.col("doc_source"), F.col("chunk_id"))
+    ix = V.Bm25Index.build(table(spark, d, "chunks"), "chunk_id", "text", sub, f"{V.shared_folder(spark)}/bm25-{digest}")
+    return ix.postings.groupBy("sub_id").agg(F.count_distinct("id").alias("docs"), F.count_distinct("token").alias("tokens"), F.count("*").alias("postings"))
+
+
 @query("SELECT doc_source, speaker, count(*) AS n, count(DISTINCT chunk_id) AS ids FROM chunks WHERE length(text) > 50 AND source = 'document' GROUP BY ALL")
 def h6_filtered(spark, d):
     return table(spark, d, "chunks").where((F.length("text") > 50) & (F.col("source") == "document")).groupBy("doc_source", "speaker").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
@@ -387,13 +436,13 @@ def sql_files(spark, d):
 
 
 @query("SELECT c_mktsegment, min(n_) AS most FROM (SELECT c_mktsegment, c_nationkey AS n_, count(*) AS c FROM customer GROUP BY 1, 2 QUALIFY rank() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC) = 1) GROUP BY 1")
-def sql_mode(spark, d):
+def s_mode(spark, d):
     views(spark, d, TABLES)
     return sqltool.guarded(spark, "SELECT c_mktsegment, mode(c_nationkey, true) AS most FROM customer GROUP BY c_mktsegment")
 
 
 @query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') o ON c_custkey = o_custkey")
-def sql_anti(spark, d):
+def s_anti(spark, d):
     views(spark, d, TABLES)
     return sqltool.guarded(spark, "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') o ON c_custkey = o_custkey")
 
@@ -424,3 +473,16 @@ def stream_read(spark, d):
 
     E.drain(s, batch, f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.count_distinct("h").alias("hours"))
+
+
+@query("SELECT version, count(*) AS n FROM (SELECT 'a' AS version, doc_id FROM documents WHERE doc_id % 3 < 2 UNION SELECT 'b', doc_id FROM documents WHERE doc_id % 3 = 2) GROUP BY 1")
+def k10_append(spark, d):
+    """Three appends of which one repeats rows that are there and one has another version."""
+    import uuid
+
+    from orrery.sources import files
+
+    folder, docs = f"{V.shared_folder(spark)}/append-{uuid.uuid4().hex}", table(spark, d, "documents").select("doc_id", "n_chars")
+    for rest, version in ((docs.where("doc_id % 3 = 0"), "a"), (docs.where("doc_id % 3 < 2"), "a"), (docs.where("doc_id % 3 = 2"), "b")):
+        files.append_versioned(rest, folder, "doc_id", version)
+    return spark.read.parquet(f"{folder}/rows").groupBy("version").agg(F.count("*").alias("n"))

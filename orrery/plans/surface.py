@@ -17,7 +17,6 @@ STATEMENTS = {
     "s_left_full": ("SELECT c.c_custkey AS k, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey", None),
     "s_full": ("SELECT coalesce(a.k, b.k) AS k, a.n AS n_cust, b.n AS n_supp FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) b ON a.k = b.k", None),
     "s_semi": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
-    "s_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
     "s_in": ("SELECT count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)", None),
     "s_scalar": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)", None),
     "s_correlated": ("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem x WHERE x.l_suppkey = l.l_suppkey)", None),
@@ -31,7 +30,6 @@ STATEMENTS = {
     "s_cube": ("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
     "s_grouping_sets": ("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
     "s_percentile": ("SELECT l_returnflag, percentile(l_quantity, 0.5) AS med, round(percentile(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1"),
-    "s_mode": ("SELECT c_mktsegment, max_by(c_custkey, struct(c_acctbal, c_custkey)) AS top FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, arg_max(c_custkey, struct_pack(a := c_acctbal, b := c_custkey)) AS top FROM customer GROUP BY 1"),
     "s_moments": ("SELECT l_returnflag, round(var_samp(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 8) AS r, round(covar_samp(l_quantity, l_discount), 8) AS cv, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem GROUP BY l_returnflag", None),
     "s_string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
     "s_list": ("SELECT n_regionkey, sort_array(collect_list(n_nationkey)) AS ks FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list_sort(list(n_nationkey)) AS ks FROM nation GROUP BY 1"),

@@ -164,3 +164,30 @@ def json_whole(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 def parquet_rows(spark: SparkSession, path: str) -> int:
     """Rows of Parquet files by a glob. No column is read, so the counts come from the files' footers."""
     return spark.read.parquet(path).count()
+
+
+def shards(df: DataFrame, folder: str, rows_per_file: int = 200_000, row_group_bytes: int = 32 << 20) -> DataFrame:
+    """Write zstd shards of at most so many rows, and give (file, bytes, sha256) of each. The committer renames finished files
+    into place; digests are taken by the tasks that read the files."""
+    df.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(folder)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def append_versioned(new: DataFrame, folder: str, key: str, version: str) -> None:
+    """Append the rows of (key, version) pairs that the table at `folder` lacks, one per key; a manifest beside it registers
+    all pairs, those already there too. Both are appended, so a run that stops can be run again."""
+    spark = new.sparkSession
+    have = lambda name: spark.read.parquet(f"{folder}/{name}") if _there(spark, f"{folder}/{name}") else None
+    rows = new.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("version", F.lit(version))
+    data, manifest = have("rows"), have("manifest")
+    fresh = rows if data is None else rows.join(data.where(F.col("version") == version).select(key), key, "left_anti").select(*rows.columns)
+    fresh.write.mode("append").parquet(f"{folder}/rows")
+    pairs = rows.select(key, "version")
+    pairs = pairs if manifest is None else pairs.join(manifest.select(key, "version"), [key, "version"], "left_anti")
+    pairs.write.mode("append").parquet(f"{folder}/manifest")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

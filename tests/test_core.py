@@ -433,3 +433,45 @@ def test_whole_json_and_counts(spark, tmp_path):
     assert files.json_whole(spark, f"{tmp_path}/*.json").first().a == 1 and files.json_whole(spark, f"{tmp_path}/*.none") is None
     spark.range(7).write.parquet(f"{tmp_path}/p")
     assert files.parquet_rows(spark, f"{tmp_path}/p") == 7
+
+
+def test_shards_and_digests(spark, tmp_path):
+    import hashlib
+
+    m = files.shards(spark.range(25).coalesce(1), f"{tmp_path}/s", rows_per_file=10).collect()
+    assert len(m) == 3 and all(hashlib.sha256((tmp_path / "s" / r.file).read_bytes()).hexdigest() == r.sha256 for r in m)
+
+
+def test_paged_source(spark):
+    import json as j
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from orrery.sources import paged
+
+    failed = set()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            bad = 400 if q["size"] > 100 else 503 if q["page"] == 2 and not failed else 0
+            if bad:
+                failed.update([1] if bad == 503 else [])
+                self.send_response(bad)
+                self.end_headers()
+                return
+            a = (q["page"] - 1) * q["size"]
+            body = j.dumps({"data": {"total": 230, "rows": [{"id": i} for i in range(a, min(230, a + q["size"]))]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = paged.paged(spark, f"http://127.0.0.1:{server.server_port}/x", totalPath="data.total", rowsPath="data.rows", perSecond=100, pagesPerTask=2)
+    assert sorted(x["id"] for x in map(j.loads, (r.value for r in df.collect()))) == list(range(230)) and failed
+    server.shutdown()
