@@ -61,9 +61,19 @@ class Pairs:
     """Pair and character counts of the corpus."""
 
     def __init__(self, pairs: np.ndarray, n_pairs: np.ndarray, chars: np.ndarray, n_chars: np.ndarray):
-        self.pairs, self.total = Table(pairs, n_pairs), max(1.0, float(np.sum(n_chars)))
+        self.pairs, self.total, self.seen = Table(pairs, n_pairs), max(1.0, float(np.sum(n_chars))), (chars, np.asarray(n_chars, dtype=np.float32))
+        self._lay()
+
+    def _lay(self):
         self.chars = np.zeros(1 << _BITS, dtype=np.float32)
-        self.chars[chars] = n_chars
+        self.chars[self.seen[0]] = self.seen[1]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "chars"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._lay()
 
     def information(self, c: np.ndarray) -> np.ndarray:
         """Mutual information of each adjacent pair in bits, shrunk towards 0 for pairs that are rare in the corpus."""
@@ -155,9 +165,8 @@ def better(p: Pairs, before: str, run: str, after: str, trusted: frozenset = fro
 
     A short reading that the counts neither like nor dislike is taken only under a mapping that longer runs of the text have
     shown to be at work (`trusted`)."""
-    best = None
+    best = old = None
     front = {run: (0, "")}
-    old = p.rate(before + run + after)
     for _ in range(MAX_ROUNDS):
         new = {}
         for t in front:
@@ -167,6 +176,7 @@ def better(p: Pairs, before: str, run: str, after: str, trusted: frozenset = fro
             if "�" in s:
                 return s, m  # the wrong reading is plain, the original is lost
             if printable(s):
+                old = p.rate(before + run + after) if old is None else old
                 gain = p.rate(before + s + after) - old
                 # C1 controls are no text, so what reads them as text needs no likelihood beside it.
                 if (gain > 0.5 or (n >= 4 or m in trusted) and gain > -0.5 or _C1.search(run)) and (best is None or gain > best[0]):

@@ -100,13 +100,13 @@ def is_full(name: str) -> bool:
     return len(name) >= 2 and name not in DOUBLE
 
 
-def label_of(line: str, roles: tuple[str, ...] = tuple(ROLES)):
+def label_of(line: str, roles: tuple[str, ...] = tuple(ROLES), forms: list[re.Pattern] | None = None):
     """(name, role, rest) if the line begins with a speaker label, else None. Time marks before it are skipped."""
     s = line
     while (m := _LEAD.match(s)) is not None and m.end():
         s = s[m.end() :]
     s = s.strip()
-    for p in label_forms(roles):
+    for p in forms or label_forms(roles):
         if m := p.match(s):
             name = re.sub(r"\s", "", m["n"] or "")
             if name and name[0] not in _FAMILY_SET or len(name) > 1 and name in roles:
@@ -118,8 +118,9 @@ def label_of(line: str, roles: tuple[str, ...] = tuple(ROLES)):
 def stretches(text: str, roles: tuple[str, ...] = tuple(ROLES)) -> list[tuple[str, str, str]]:
     """(name, role, clean speech) of every labelled stretch, those without speech too: their labels still name persons."""
     out: list[tuple[str, str, list[str]]] = []
+    forms = label_forms(roles)
     for line in unicodedata.normalize("NFC", text).split("\n"):
-        if hit := label_of(line, roles):
+        if hit := label_of(line, roles, forms):
             out.append((hit[0], hit[1], [hit[2]]))
         elif out:
             out[-1][2].append(line)
@@ -217,8 +218,8 @@ def _parse(roles: tuple[str, ...]):
 def offices(transcripts: DataFrame) -> tuple[str, ...]:
     """The fixed offices and those that labels have: words between a full name and a colon, in at least MIN_LABELS labels
     that hold one in 100,000 of all labelled lines, so there are 100,000 at most."""
-    line = F.explode(F.split(F.regexp_replace("text", r"[^\S\n]+", " "), "\n"))
-    label = rf"^ ?{_BULLET}? ?([{FAMILY}][가-힣]{{2,3}}) ([가-힣]{{2,8}}) ?[:：]"
+    line = F.explode(F.filter(F.split("text", "\n"), lambda x: x.contains(":") | x.contains("：")))
+    label = rf"^\s*{_BULLET}?\s*([{FAMILY}][가-힣]{{2,3}})\s+([가-힣]{{2,8}})\s*[:：]"
     rows = transcripts.where(F.col("text").isNotNull()).select(line.alias("line")).where(F.col("line").rlike(label))
     rows = rows.select(F.regexp_extract("line", label, 1).alias("name"), F.regexp_extract("line", label, 2).alias("office"))
     n = rows.groupBy("office", "name").agg(F.count("*").alias("n")).groupBy("office").agg(F.sum("n").alias("n"), F.count("*").alias("names")).persist()

@@ -80,7 +80,9 @@ class Grams:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float, confusions: dict | None = None):
         self.confusions = confusions if confusions is not None else learned(keys, counts, total)
         self.table, self.total, self.known = Table(keys, cleaned(keys, counts, self.confusions)), max(1.0, total), {}
-        self.suspect = re.compile(_SUSPECT.pattern + "".join("|" + re.escape(x) for x in self.confusions))
+        own = "".join(map(re.escape, self.confusions))
+        self.suspect = re.compile((f"[{own}]|" if own else "") + _SUSPECT.pattern)
+        self.places = re.compile("[" + own + "".join(map(re.escape, {*HANGUL, *LATIN, *DIGITS, *SPECKS, *(x[0] for x in PAIRS)})) + "]")
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -232,7 +234,7 @@ def decode(g: Grams, s: str) -> str:
     n-grams, all paths meet in one state, so only the stretches between such places are searched."""
     if not g.suspect.search(s):
         return s
-    choices = {i: alt for i in range(len(s)) if (alt := list(options(g, s, i)))}
+    choices = {i: alt for i in (m.start() for m in g.places.finditer(s)) if (alt := list(options(g, s, i)))}
     out, last = [], 0
     at = sorted(choices)
     k = 0
