@@ -67,9 +67,10 @@ class Pairs:
     def _lay(self):
         self.chars = np.zeros(1 << _BITS, dtype=np.float32)
         self.chars[self.seen[0]] = self.seen[1]
+        self.read: dict[tuple, tuple | None] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "chars"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("chars", "read")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -165,6 +166,15 @@ def better(p: Pairs, before: str, run: str, after: str, trusted: frozenset = fro
 
     A short reading that the counts neither like nor dislike is taken only under a mapping that longer runs of the text have
     shown to be at work (`trusted`)."""
+    key = before, run, after, trusted
+    if key not in p.read:
+        if len(p.read) > 100_000:  # a memory bound; the value is the same either way
+            p.read.clear()
+        p.read[key] = _better(p, *key)
+    return p.read[key]
+
+
+def _better(p: Pairs, before: str, run: str, after: str, trusted: frozenset):
     best = old = None
     front = {run: (0, "")}
     for _ in range(MAX_ROUNDS):

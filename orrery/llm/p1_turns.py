@@ -248,8 +248,8 @@ def _respell(pdf: pd.DataFrame) -> pd.DataFrame:
 MIN_SEEN = 3
 
 
-def respelled(parsed: DataFrame, known: DataFrame) -> DataFrame:
-    """(item_table, doc_id, source, who, right): full names that one transcript alone has, and the person of the same body
+def respelled(parsed: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(item_table, doc_id, source, who, right), or None where no name stands in one transcript alone: full names that one transcript alone has, and the person of the same body
     and role that they spell. Blocks are the name with one syllable left out, by its sound; who has the right person in
     the same transcript is somebody else."""
     item = ["item_table", "doc_id", "source"]
@@ -257,7 +257,10 @@ def respelled(parsed: DataFrame, known: DataFrame) -> DataFrame:
     names = parsed.where(full & (F.col("body") != "")).select(*item, F.coalesce("meeting", "doc_id").alias("of"), "body", "role", "who").distinct()
     alone = names.groupBy("who").agg(F.count_distinct("of", "source").alias("k")).where("k = 1").select("who")
     block = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.lit("_"), F.substring(c, i + 1, F.length(c)))))
-    ask = names.join(alone, "who").withColumn("block", block(F.col("who")))
+    rare = names.join(alone, "who").persist()
+    if rare.limit(1).count() == 0:
+        return None
+    ask = rare.withColumn("block", block(F.col("who")))
     answer = known.where((F.col("seen") >= MIN_SEEN) & (F.length("cand") >= 3)).withColumn("block", block(F.col("cand")))
     met = ask.join(answer, ["body", "role", "block"]).where("who <> cand").select(*item, "who", "cand", "seen")
     met = met.join(names.select(*item, F.col("who").alias("cand")).distinct(), [*item, "cand"], "left_anti")
@@ -325,7 +328,10 @@ def turns(transcripts: DataFrame) -> DataFrame:
     options = competing.join(ranked, ["body", "role"]).where(F.when(F.col("name") == "", F.col("at") <= F.col("k")).otherwise((F.col("name") == F.col("family")) & (F.col("at_family") <= F.col("k"))))
     settled = options.select(*item, "name", "role", "cand", "seen").groupBy(*item).applyInPandas(_settle, "item_table string, doc_id string, source string, name string, role string, other string")
     keys = ["item_table", "doc_id", "source", "name", "role"]
-    named = parsed.join(settled, keys, "left").join(respelled(parsed, known), [*item, "who"], "left").where(F.col("speech") != "")
+    named = parsed.join(settled, keys, "left")
+    spelt = respelled(parsed, known)
+    named = named.withColumn("right", F.lit(None).cast("string")) if spelt is None else named.join(spelt, [*item, "who"], "left")
+    named = named.where(F.col("speech") != "")
     speaker = F.coalesce("right", "who", "other", F.when(F.col("name") != "", F.col("name")), F.col("role"))
     return (
         named.select("item_table", "doc_id", "source", "pos", speaker.alias("speaker"), "speech")

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,19 +81,25 @@ class Grams:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float, confusions: dict | None = None):
         self.confusions = confusions if confusions is not None else learned(keys, counts, total)
         self.table, self.total, self.known = Table(keys, cleaned(keys, counts, self.confusions)), max(1.0, total), {}
+        self.counted: dict[str, float] = {}
         own = "".join(map(re.escape, self.confusions))
         self.suspect = re.compile((f"[{own}]|" if own else "") + _SUSPECT.pattern)
         self.places = re.compile("[" + own + "".join(map(re.escape, {*HANGUL, *LATIN, *DIGITS, *SPECKS, *(x[0] for x in PAIRS)})) + "]")
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "counted": {}}
 
     def count(self, s: str) -> float:
-        key = 0
-        for ch in s:
-            c = ord(ch)
-            key = key << 16 | (c if 0 < c <= 0xFFFF else 0xFFFF)
-        return self.table.one(key << 16 * (ORDER - len(s)))
+        got = self.counted.get(s)
+        if got is None:
+            key = 0
+            for ch in s:
+                c = ord(ch)
+                key = key << 16 | (c if 0 < c <= 0xFFFF else 0xFFFF)
+            if len(self.counted) > 500_000:  # a memory bound, as below
+                self.counted.clear()
+            got = self.counted[s] = self.table.one(key << 16 * (ORDER - len(s)))
+        return got
 
     def log(self, context: str, ch: str) -> float:
         s = context[-(ORDER - 1) :] + ch
@@ -225,6 +232,7 @@ def options(g: Grams, s: str, i: int):
         yield 1, "", LOG_SPECK
 
 
+@lru_cache(maxsize=1 << 16)
 def _plain(s: str) -> str:
     return "".join("0" if ch.isdigit() else " " if ch.isspace() else ch for ch in s)
 
