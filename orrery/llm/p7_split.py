@@ -50,6 +50,7 @@ def successors(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     n = len(text)
     step = limit - overlap
     kinds = [np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for p in _KINDS]
+    kinds = [k[~_is_mark(text, k)] for k in kinds]
     nat = np.unique(np.concatenate([*kinds, [0]]))
     nat = nat[nat < n]
     # Where no boundary lies within a piece's reach, cuts go on in steps of the room, from the last boundary on.
@@ -72,22 +73,31 @@ def successors(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     best = np.where(best <= ends, np.minimum(start + limit, n), best)  # only behind a combining mark at the limit
     extra = np.setdiff1d(best, ends)
     if len(extra):  # such places need successors of their own
-        ends, succ = _walk(ends, best, extra, n, step)
+        ends, succ = _walk(text, ends, best, extra, limit, overlap)
         return ends, succ
     return ends, np.searchsorted(ends, best)
 
 
 def _is_mark(text: str, at: np.ndarray) -> np.ndarray:
+    if not _MARKS.search(text):
+        return np.zeros(len(at), dtype=bool)
     return np.array([0 < i < len(text) and bool(_MARKS.match(text[i])) for i in at], dtype=bool)
 
 
-def _walk(ends, best, extra, n, step):
-    grid = np.unique(np.concatenate([np.append(np.arange(e, n, step), n) for e in extra]))
-    more = np.setdiff1d(grid, ends)
-    allv = np.concatenate([ends, more])
-    nxt = np.concatenate([best, np.minimum(more + step, n)])
+def _walk(text, ends, best, extra, limit, overlap):
+    """The table with the places that are no boundaries, each with the farthest place its piece can reach, until they meet
+    the end or a place that is in the table."""
+    n, known, more, nxt = len(text), set(ends.tolist()), [], []
+    for e in extra.tolist():
+        while e < n and e not in known:
+            known.add(e)
+            more.append(e)
+            e = min(int(starts_of(text, np.array([e]), limit, overlap)[0]) + limit, n)
+            nxt.append(e)
+    allv = np.concatenate([ends, np.array(more, dtype=np.int64)])
+    reach = np.concatenate([best, np.array(nxt, dtype=np.int64)])
     order = np.argsort(allv)
-    return allv[order], np.searchsorted(allv[order], nxt[order])
+    return allv[order], np.searchsorted(allv[order], reach[order])
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
