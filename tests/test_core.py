@@ -172,11 +172,11 @@ def test_weights_of_all_languages(spark, sf):
     square = Counter()
     for (d, _), x in want.items():
         square[d] += x * x
-    got = {(r.doc_id, r.term): r.weight for r in corpus.m3_corpus_weights(spark, sf).collect()}
+    got = {(r.doc_id, r.term): r.weight for r in corpus.m3_weights(spark, sf).collect()}
     assert got == {k: pytest.approx(x / math.sqrt(square[k[0]]), abs=1e-8) for k, x in want.items()}
     lang = {r.doc_id: (r.lang or "").strip().lower() for r in docs}
     assert {"ko", "en", "fr"} <= {lang[d] for d, _ in got} and len(idf) > 500
-    assert {"ko", "en"} <= {lang[r.doc_id] for r in corpus.m4_corpus_attributes(spark, sf).collect()}
+    assert {"ko", "en"} <= {lang[r.doc_id] for r in corpus.m4_attributes(spark, sf).collect()}
 
 
 def test_topics_of_all_documents(spark, sf):
