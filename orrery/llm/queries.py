@@ -130,7 +130,7 @@ UNION SELECT 'chunks', chunk_id FROM chunks WHERE length(text) > 1500 AND chunk_
 
 # Groups as reachability over shared keys, written on whole strings: the first key is the letters and digits in order,
 # the second the sorted list of the labelled lines behind the others.
-_P5_FOUND = r"""
+_P5_GROUPS = r"""
 WITH RECURSIVE rows_ AS (
   SELECT DISTINCT coalesce(lower(trim(provider, E' \t\n\r')), '') AS p, news_id, content
   FROM news_articles WHERE news_id IS NOT NULL AND content IS NOT NULL),
@@ -145,7 +145,11 @@ keyed AS (SELECT p, news_id, k1, CASE WHEN fields < 2 THEN k1 ELSE k2 END AS k2
 link AS (SELECT a.p, a.news_id AS x, b.news_id AS y FROM keyed a JOIN keyed b ON a.p = b.p AND a.k1 = b.k1
   UNION SELECT a.p, a.news_id, b.news_id FROM keyed a JOIN keyed b ON a.p = b.p AND a.k2 = b.k2),
 reach AS (SELECT p, x, y FROM link UNION SELECT r.p, r.x, l.y FROM reach r JOIN link l ON r.p = l.p AND r.y = l.x)
-SELECT DISTINCT min(y) AS news_id_keep, x AS news_id_copy FROM reach GROUP BY p, x HAVING min(y) <> x
+"""
+_P5_FOUND = _P5_GROUPS + "SELECT DISTINCT min(y) AS news_id_keep, x AS news_id_copy FROM reach GROUP BY p, x HAVING min(y) <> x"
+_P5_RECORDS = _P5_GROUPS + r""", g AS (SELECT p, x, min(y) AS keep FROM reach GROUP BY 1, 2),
+every AS (SELECT DISTINCT coalesce(lower(trim(provider, E' \t\n\r')), '') AS p, news_id AS x FROM news_articles WHERE news_id IS NOT NULL)
+SELECT p AS provider, coalesce(keep, x) AS news_id, count(*) AS copies FROM every LEFT JOIN g USING (p, x) GROUP BY 1, 2
 """
 
 
@@ -167,4 +171,4 @@ FROM listed SEMI JOIN held USING (source)
 
 
 def oracle_sql():
-    return {"p5_found": _P5_FOUND, "p7_found": _P7_FOUND, "p7_rebuilt": _P7_REBUILT, "p9_bounds": _P9_BOUNDS}
+    return {"p5_found": _P5_FOUND, "p5_records": _P5_RECORDS, "p7_found": _P7_FOUND, "p7_rebuilt": _P7_REBUILT, "p9_bounds": _P9_BOUNDS}
